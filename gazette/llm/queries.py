@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from . import exact, licenses, quality
 from .bpe import round_trip
 from .common import table
 from .packing import pack
 
 
+def op2_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark, sf_dir):
     import public_tokenizers as p
 
@@ -19,6 +29,16 @@ def op8_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), p.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op8_packing": op8_packing}
+def op9_exact_dedup(spark, sf_dir):
+    return exact.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op2_quality": op2_quality,
+    "op3_licenses": op3_licenses,
+    "op4_bpe": op4_bpe,
+    "op8_packing": op8_packing,
+    "op9_exact_dedup": op9_exact_dedup,
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses.SQL, "op9_exact_dedup": exact.SQL}
