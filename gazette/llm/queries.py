@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, licenses, quality
+from . import exact, licenses, lm, quality, urls
 from .bpe import round_trip
 from .common import table
 from .packing import pack
@@ -33,12 +33,22 @@ def op9_exact_dedup(spark, sf_dir):
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_score(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op10_url_filter(spark, sf_dir):
+    return urls.filter_urls(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op2_quality": op2_quality,
     "op3_licenses": op3_licenses,
     "op4_bpe": op4_bpe,
+    "op7_lm_score": op7_lm_score,
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_url_filter": op10_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses.SQL, "op9_exact_dedup": exact.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses.SQL, "op9_exact_dedup": exact.SQL, "op10_url_filter": urls.SQL}
