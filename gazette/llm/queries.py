@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact, licenses, lm, quality, urls
+from . import embeddings, exact, licenses, lm, quality, simhash, urls
 from .bpe import round_trip
 from .common import table
 from .packing import pack
 
 
+def op1_embedding_dedup(spark, sf_dir):
+    return embeddings.near_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op2_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -33,6 +37,10 @@ def op9_exact_dedup(spark, sf_dir):
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash_dedup(spark, sf_dir):
+    return simhash.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_lm_score(spark, sf_dir):
     return lm.score(table(spark, sf_dir, "documents"))
 
@@ -42,9 +50,11 @@ def op10_url_filter(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_quality": op2_quality,
     "op3_licenses": op3_licenses,
     "op4_bpe": op4_bpe,
+    "op5_simhash_dedup": op5_simhash_dedup,
     "op7_lm_score": op7_lm_score,
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
