@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from .common import small_batches, written
 
 WINDOW, OPEN, END = 2048, 16, 1
 #: Entries that a worker's table of tokenised words holds; it is emptied beyond that.
-CACHED = 400_000
+CACHED = 600_000
 #: Leftover pieces that one task merges.
 MERGED = 100_000
 
@@ -23,35 +25,81 @@ _COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id
 #: These count as white space for str.split() but not for the tokenizer, whose white space also differs in nothing else.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
-_tokenizers: dict[str, tuple] = {}
-
-
-def word_ids(path: str):
-    """text -> uint32 ids as bytes. White space always ends a token, so each word is tokenised once and then looked up."""
-    from tokenizers import Tokenizer
-
-    if path not in _tokenizers:
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _tokenizers[path] = (t, {})
-    tokenizer, known = _tokenizers[path]
-
-    def whole(texts):
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+# How the tokenizer of the vocabulary file cuts lower-cased text.
+_CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Below this character, lower-casing is a matter of single characters and nothing composes.
+_PLAIN = "\u0250"
+
+_tokenizers: dict = {}
+
+
+def _byte_names() -> dict[str, str]:
+    """The characters that stand for UTF-8 bytes in a byte-level vocabulary: a printable byte is itself, others follow from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    names, more = [], 256
+    for b in range(256):
+        names.append(chr(b) if b in own else chr(more))
+        more += b not in own
+    return {chr(c): "".join(names[b] for b in chr(c).encode()) for c in range(0x0400)}
+
+
+class Words:
+    """text -> uint32 ids as bytes. White space always ends a token, so a word's ids don't depend on what surrounds it:
+    each is tokenised once and then looked up. The tables are emptied when they are full."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.names = str.maketrans(_byte_names())
+        self.words: dict[str, bytes] = {}
+        self.cuts: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _cut_ids(self, cut: str) -> bytes:
+        got = self.cuts.get(cut)
+        if got is None:
+            ids = [t.id for t in self.model.tokenize(cut if cut.isascii() and cut.isprintable() else cut.translate(self.names))]
+            got = self.cuts[cut] = struct.pack(f"<{len(ids)}I", *ids)
+        return got
+
+    def _learn(self, new: list[str]) -> None:
+        other, ids = [], self._cut_ids
+        for w in new:
+            if not w.isascii() and max(w) >= _PLAIN:
+                other.append(w)
+                continue
+            low = w.lower()
+            if low.isalpha():
+                self.words[w] = ids(low)
+            elif low[:-1].isalpha() and not low[-1].isalnum():
+                self.words[w] = ids(low[:-1]) + ids(low[-1])
+            else:
+                self.words[w] = b"".join(map(ids, _CUT.findall(low)))
+        if other:
+            self.words.update(zip(other, self._whole(other), strict=True))
 
-    def ids(text: str) -> bytes:
+    def __call__(self, text: str) -> bytes:
         if _ODD_SPACE.search(text):
-            return whole([text])[0]
+            return self._whole([text])[0]
         parts = text.split()
-        new = list({w for w in parts if w not in known})
-        if len(known) + len(new) > CACHED:
-            known.clear()
+        new = list({w for w in parts if w not in self.words})
+        if len(self.words) + len(new) > CACHED:
+            self.words.clear()
+            self.cuts.clear()
             new = list(set(parts))
-        if new:
-            known.update(zip(new, whole(new), strict=True))
-        return b"".join(map(known.__getitem__, parts))
+        self._learn(new)
+        return b"".join(map(self.words.__getitem__, parts))
 
-    return ids
+
+def word_ids(path: str) -> Words:
+    if path not in _tokenizers:
+        _tokenizers[path] = Words(path)
+    return _tokenizers[path]
 
 
 class Windows:
