@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, exact, licenses, lm, quality, simhash, urls
+from . import embeddings, exact, licenses, lm, quality, simhash, suffix, urls
 from .bpe import round_trip
 from .common import table
 from .packing import pack
@@ -41,6 +41,10 @@ def op5_simhash_dedup(spark, sf_dir):
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    return suffix.dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op7_lm_score(spark, sf_dir):
     return lm.score(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op3_licenses": op3_licenses,
     "op4_bpe": op4_bpe,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_lm_score": op7_lm_score,
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,

@@ -103,8 +103,8 @@ def _stretches(width: int, kgram: int):
 # --- suffix arrays -----------------------------------------------------------------------------------------------
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first `depth` bytes or more, after Larsson and Sadakane: suffixes are sorted by 5
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Suffixes in their order, after Larsson and Sadakane: suffixes are sorted by 5
     bytes, then groups that are still equal are refined by the ranks of what follows, with twice the bytes each time.
     Sorted suffixes are not touched again. Each key holds a group, a rank and a place, so a plain sort does."""
     n = len(text)
@@ -122,7 +122,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     rank[sa] = np.flatnonzero(new)[np.cumsum(new) - 1] + 1
     h = 5
     open_ = _open(new)
-    while len(open_) and h < depth:
+    while len(open_):
         i = sa[open_]
         own, next_ = rank[i] - 1, rank[np.minimum(i + h, n)]
         order = np.sort((own.astype(np.uint64) << np.uint64(42)) | (next_.astype(np.uint64) << np.uint64(21)) | i.astype(np.uint64))
@@ -198,7 +198,7 @@ class Shard:
         np.add.at(self.counts, start[:-1] + np.array([k for k, _ in parts], np.int64), -1)
         self.counts = np.cumsum(self.counts)[:n] > 0
         self.words = None
-        sa = suffix_array(self.text, width)
+        sa = suffix_array(self.text)
         near = common_prefixes(self.text, sa, width) >= width
         keep = self.counts[sa]
         # windows that are equal stand together: a group ends where a common prefix is too short
