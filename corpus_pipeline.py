@@ -14,14 +14,13 @@ from gazette.llm.common import dropped, table, written
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is among ids (one column, each id once)."""
-    return docs.join(ids.toDF("_kept"), docs["doc_id"] == F.col("_kept"), "left_semi")
+    return docs.join(ids.toDF("_kept"), docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    good = quality.score(docs, model).where("predicted = 1").select("doc_id").distinct()
-    return _only(docs, good)
+    return quality.with_score(docs, model, "_score").where(F.col("_score") >= quality.THRESHOLD).drop("_score")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +30,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays."""
-    return _only(docs, simhash.near_dedup(docs).where("doc_id = component_id").select("doc_id").distinct())
+    return _only(docs, simhash.near_dedup(docs).where("doc_id <=> component_id").select("doc_id").distinct())
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -172,17 +173,24 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, sample: int = LABELLED
     return Machine.trained([(np.frombuffer(r["i"], "<i4"), np.frombuffer(r["x"], "<f4")) for r in found], np.array([r["label"] for r in found], np.float64))
 
 
-def score(docs: DataFrame, machine: Machine, mod: int = 5, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs. Null counts as empty and is scored like any other text;
-    rows that repeat are scored alike. The model has a fixed size, about 1 MB, whatever the data."""
+def with_score(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
+    """docs and the score of each text as one more column; nothing is shuffled. Null counts as empty and is scored like
+    any other text. The model has a fixed size, about 1 MB, whatever the data."""
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.w, machine.v))
 
-    def run(batches):
+    @F.pandas_udf("double")
+    def scores(text: pd.Series, n_chars: pd.Series) -> pd.Series:
         m = Machine(*model.value)
-        for b in batches:
-            got = [m.scores(*features(data, offsets, chars), len(chars)) for _, data, offsets, chars in _runs(b)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(got) if got else np.zeros(0))], names=["doc_id", "score"])
+        b = pa.RecordBatch.from_arrays([pa.nulls(len(text)), pa.array(text, pa.string(), from_pandas=True), pa.array(n_chars, pa.int64(), from_pandas=True)], names=["doc_id", "text", "n_chars"])
+        got = [m.scores(*features(data, offsets, chars), len(chars)) for _, data, offsets, chars in _runs(b)]
+        return pd.Series(np.concatenate(got) if got else np.zeros(0))
+
+    _, text, chars = _columns(docs)
+    return docs.withColumn(name, scores(text, chars))
 
-    rows = docs.select(*_columns(docs)).mapInArrow(run, "doc_id long, score double")
+
+def score(docs: DataFrame, machine: Machine, mod: int = 5, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of docs; rows that repeat are scored alike."""
+    rows = with_score(docs.select(*_columns(docs)), machine)
     return rows.select("doc_id", (remainder(F.col("doc_id"), mod) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
