@@ -10,7 +10,7 @@ from pyspark.sql.types import StringType
 from ..constants import REDACTED, TEXT_PATTERNS, TOPIC_NAMES, URL_PATTERNS
 
 #: What ends a line, the widest meaning: \r\n counts once.
-LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85" + chr(0x2028) + chr(0x2029) + "]"
 
 
 def lines(text: Column) -> Column:

@@ -358,11 +358,12 @@ def new_messages(spark, d):
 # --- texts -------------------------------------------------------------------------------------------------------
 
 _PRIVATE = ["thin", "of the"]
+_ODD_ENDS = r"[\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
-@query("SELECT doc_id, array_to_string(list_filter(CASE WHEN ends_with(x, chr(10)) THEN string_split(x[:-2], chr(10)) ELSE string_split(x, chr(10)) END, lambda l: NOT regexp_matches(l, " + _q("|".join(f"(?:{p})" for p in [*URL_PATTERNS, "zon"])) + ", 'i') AND NOT regexp_matches(l, " + _q(r"^\s*(?:" + "|".join(f"(?:{p})" for p in TEXT_PATTERNS) + r")\s*$") + ", 'i')), chr(10)) AS clean FROM (SELECT doc_id, regexp_replace(text, '[\r\x0b\x0c\x1c-\x1e\u0085  ]', ' ', 'g') AS x FROM documents)", False)
+@query("SELECT doc_id, array_to_string(list_filter(CASE WHEN ends_with(x, chr(10)) THEN string_split(x[:-2], chr(10)) ELSE string_split(x, chr(10)) END, lambda l: NOT regexp_matches(l, " + _q("|".join(f"(?:{p})" for p in [*URL_PATTERNS, "zon"])) + ", 'i') AND NOT regexp_matches(l, " + _q(r"^\s*(?:" + "|".join(f"(?:{p})" for p in TEXT_PATTERNS) + r")\s*$") + ", 'i')), chr(10)) AS clean FROM (SELECT doc_id, regexp_replace(text, " + _q(_ODD_ENDS) + ", ' ', 'g') AS x FROM documents)", False)
 def sanitize_text(spark, d):
-    t = F.regexp_replace("text", "[\r\x0b\x0c\x1c-\x1e\x85  ]", " ")
+    t = F.regexp_replace("text", _ODD_ENDS, " ")
     return table(spark, d, "documents").select("doc_id", text.sanitize_text(t, [*URL_PATTERNS, "zon"]).alias("clean"))
 
 
