@@ -81,8 +81,9 @@ class Index:
         digest &= (1 << 64) - 1
         entry = self._find(digest, sha)
         if entry is None:
-            self.content.setdefault(digest, []).append([sha, doc, rows])
-            if not self.filter.insert(digest):
+            held = self.content.setdefault(digest, [])
+            held.append([sha, doc, rows])
+            if len(held) == 1 and not self.filter.insert(digest):
                 self._resize()
         else:
             entry[1] = doc if entry[1] is None else entry[1] if doc is None else min(entry[1], doc)
@@ -100,7 +101,7 @@ class Index:
             held.remove(entry)
             if not held:
                 del self.content[digest]
-            self.filter.delete(digest)
+                self.filter.delete(digest)
 
     def _resize(self) -> None:
         buckets = self.filter.mask + 1
@@ -108,7 +109,7 @@ class Index:
             buckets *= 2
             self.resized += 1
             self.filter = CuckooFilter(buckets)
-            if all(self.filter.insert(d) for d, held in self.content.items() for _ in held):
+            if all(map(self.filter.insert, self.content)):
                 return
 
     def rows(self):

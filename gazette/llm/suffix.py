@@ -276,7 +276,8 @@ def repeated_windows(parts: list[tuple[int, bytes]], width: int, most: int = SHA
 
 
 def _shards(width: int):
-    """Rows (key, content, windows, bytes) sorted by key -> (content, runs). Small groups share a shard."""
+    """Rows (key, content, windows, chunks, bytes) sorted by key -> (content, runs). Small groups share a shard, but not pairs
+    of chunks, which hold the same stretches again."""
 
     def run(batches):
         key, held, size, names, whole = None, [], 0, [], []
@@ -290,23 +291,24 @@ def _shards(width: int):
                 whole.clear()
 
         group: list[tuple] = []
-        group_size = 0
+        group_size, in_chunks, alone = 0, False, False
 
         def add():
-            nonlocal held, size, names
-            if held and size + group_size > SHARD:
+            nonlocal held, size, names, alone
+            if held and (size + group_size > SHARD or in_chunks or alone):
                 yield from out()
                 held, size, names = [], 0, []
             held += [(w, p) for _, w, p in group]
             names += [c for c, _, _ in group]
             size += group_size
+            alone = in_chunks
 
         for b in batches:
-            for k, c, w, p in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            for k, c, w, n, p in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if k != key:
                     if group:
                         yield from add()
-                    key, group, group_size = k, [], 0
+                    key, group, group_size, in_chunks = k, [], 0, n > 1
                 group.append((c, w, p))
                 group_size += len(p)
         if group:
@@ -383,7 +385,7 @@ def repeated_runs(texts: DataFrame, width: int = WIDTH, kgram: int = KGRAM, grou
     own = F.pmod(F.col("content"), F.col("chunks")).cast("int")
     parts = parts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     key = F.when(F.col("chunks") == 1, F.col("anchor")).otherwise(F.xxhash64("anchor", F.least("own", "other"), F.greatest("own", "other")))
-    dealt = parts.select(key.alias("key"), "content", "windows", "part").repartition(n_parts, "key").sortWithinPartitions("key", "content")
+    dealt = parts.select(key.alias("key"), "content", "windows", "chunks", "part").repartition(n_parts, "key").sortWithinPartitions("key", "content")
     in_shards = written(dealt.mapInArrow(_shards(width), "c long, runs array<int>"))
     whole = kinds.where("times > 1").select(F.col("content").alias("c"), F.array(F.lit(0), F.col("windows")).alias("runs"))
     parted = in_shards.join(kinds.where("times > 1").select(F.col("content").alias("w")), F.col("c") == F.col("w"), "left_anti")
