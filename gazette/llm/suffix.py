@@ -19,7 +19,7 @@ from .common import buffers, mixed, powers, small_batches, written
 
 WIDTH, KGRAM = 400, 32
 #: Bytes of texts that are hashed together; longer texts are taken in overlapping parts.
-TOGETHER = 4 << 20
+TOGETHER = 1 << 20
 #: Bytes of a shard: 21 bits, so that two ranks and a place fit into 64 bits.
 SHARD = (1 << 21) - 1
 #: Bytes of a group that one task takes; larger groups are dealt out as pairs of chunks.
