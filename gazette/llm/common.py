@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch that carries texts; keeps a batch of long texts small.
-TEXT_ROWS = 1000
+#: Rows, and bytes where Spark knows that limit, in an Arrow batch that carries texts; keeps a batch of long texts small.
+TEXT_ROWS, TEXT_BYTES = 400, 4 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -33,6 +33,7 @@ def remainder(doc_id: Column, mod: int) -> Column:
 
 def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -15,7 +15,7 @@ WORDS, STEPS, RANK = 1 << 14, 16, 8
 #: Labelled rows that training reads at most: those with the smallest hashes of their ids.
 LABELLED = 12_000
 #: Texts of a batch are taken together up to so many bytes.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 #: 1 if the score is at least this.
 THRESHOLD = 0.3
 

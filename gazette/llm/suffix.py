@@ -19,9 +19,11 @@ from .common import buffers, mixed, powers, small_batches, written
 
 WIDTH, KGRAM = 400, 32
 #: Bytes of texts that are hashed together; longer texts are taken in overlapping parts.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 #: Bytes of a shard: 21 bits, so that two ranks and a place fit into 64 bits.
 SHARD = (1 << 21) - 1
+#: Small groups share a shard of up to so many bytes.
+SHARED = 1 << 19
 #: Bytes of a group that one task takes; larger groups are dealt out as pairs of chunks.
 GROUP = 8 << 20
 
@@ -295,7 +297,7 @@ def _shards(width: int):
 
         def add():
             nonlocal held, size, names, alone
-            if held and (size + group_size > SHARD or in_chunks or alone):
+            if held and (size + group_size > SHARED or in_chunks or alone):
                 yield from out()
                 held, size, names = [], 0, []
             held += [(w, p) for _, w, p in group]
