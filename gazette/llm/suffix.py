@@ -96,8 +96,16 @@ def _stretches(width: int, kgram: int):
         for b in batches:
             for rows, places, data, offsets in _runs(b.column(1), width):
                 text, start, windows, anchor, content = stretches(data, offsets, width, kgram)
-                keys = b.column(0).take(pa.array(rows[text]))
-                yield pa.RecordBatch.from_arrays([keys, pa.array((start + places[text]).astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(anchor.astype(np.int64)), pa.array(content.astype(np.int64))], names=["sha", "start", "windows", "anchor", "content"])
+                # places of the same stretch in one text are one row
+                order = np.lexsort((start, content, text))
+                text, start, windows, anchor, content = (x[order] for x in (text, start, windows, anchor, content))
+                new = np.ones(len(text), bool)
+                new[1:] = (text[1:] != text[:-1]) | (content[1:] != content[:-1])
+                at = np.flatnonzero(new)
+                keys = b.column(0).take(pa.array(rows[text[at]]))
+                starts = pa.ListArray.from_arrays(pa.array(np.append(at, len(text)).astype(np.int32)), pa.array((start + places[text]).astype(np.int32)))
+                columns = [keys, starts, pa.array(windows[at].astype(np.int32)), pa.array(anchor[at].astype(np.int64)), pa.array(content[at].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["sha", "starts", "windows", "anchor", "content"])
 
     return run
 
@@ -362,10 +370,10 @@ def repeated_runs(texts: DataFrame, width: int = WIDTH, kgram: int = KGRAM, grou
     small_batches(spark)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kgram = min(kgram, width)
-    found = texts.where(F.octet_length("text") >= width).mapInArrow(_stretches(width, kgram), "sha binary, start int, windows int, anchor long, content long")
-    # one row for each place of each different text, with how often it occurs
-    found = written(found.groupBy("sha", "start", "windows", "anchor", "content").agg(F.count("*").alias("times")))
-    kinds = written(found.groupBy("anchor", "content").agg(F.sum("times").alias("times"), F.max("windows").alias("windows"), F.min(F.struct("sha", "start")).alias("at")))
+    found = texts.where(F.octet_length("text") >= width).mapInArrow(_stretches(width, kgram), "sha binary, starts array<int>, windows int, anchor long, content long")
+    # one row for each stretch of each different text, with its places there and how often the text occurs
+    found = written(found.groupBy("sha", "starts", "windows", "anchor", "content").agg(F.count("*").alias("times")))
+    kinds = written(found.groupBy("anchor", "content").agg(F.sum(F.col("times") * F.size("starts")).alias("times"), F.max("windows").alias("windows"), F.min(F.struct("sha", F.col("starts")[0].alias("start"))).alias("at")))
     groups = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.col("windows") + (width - 1)).alias("size")).where("kinds > 1")
     of_group = groups.select(F.col("anchor").alias("g"), F.ceil(F.col("size") / group).cast("int").alias("chunks"))
     wanted = kinds.join(of_group, kinds.anchor == of_group.g).select("anchor", "content", "windows", "chunks", F.col("at.sha").alias("s"), F.col("at.start").alias("start"))
@@ -391,7 +399,7 @@ def repeated_runs(texts: DataFrame, width: int = WIDTH, kgram: int = KGRAM, grou
     in_shards = written(dealt.mapInArrow(_shards(width), "c long, runs array<int>"))
     whole = kinds.where("times > 1").select(F.col("content").alias("c"), F.array(F.lit(0), F.col("windows")).alias("runs"))
     parted = in_shards.join(kinds.where("times > 1").select(F.col("content").alias("w")), F.col("c") == F.col("w"), "left_anti")
-    runs = found.join(whole.union(parted), found.content == F.col("c")).select("sha", F.transform("runs", lambda r: r + F.col("start")).alias("runs"))
+    runs = found.join(whole.union(parted), found.content == F.col("c")).select("sha", F.flatten(F.transform("starts", lambda p: F.transform("runs", lambda r: r + p))).alias("runs"))
     return runs.groupBy("sha").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
