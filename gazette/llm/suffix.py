@@ -399,6 +399,8 @@ def repeated_runs(texts: DataFrame, width: int = WIDTH, kgram: int = KGRAM, grou
     in_shards = written(dealt.mapInArrow(_shards(width), "c long, runs array<int>"))
     whole = kinds.where("times > 1").select(F.col("content").alias("c"), F.array(F.lit(0), F.col("windows")).alias("runs"))
     parted = in_shards.join(kinds.where("times > 1").select(F.col("content").alias("w")), F.col("c") == F.col("w"), "left_anti")
+    # a stretch of a large group comes back from each pair of chunks it was in
+    parted = parted.groupBy("c").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     runs = found.join(whole.union(parted), found.content == F.col("c")).select("sha", F.flatten(F.transform("starts", lambda p: F.transform("runs", lambda r: r + p))).alias("runs"))
     return runs.groupBy("sha").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
