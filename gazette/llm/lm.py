@@ -1,7 +1,8 @@
 """Operator 7: language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
 
 Words are known by 64-bit hashes, pairs of words by 48 bits. Counts travel as sorted blobs, one for each bucket of hashes,
-never as a row for each word."""
+never as a row for each word. The filter lies in segments, one for each bucket, that grow with their entries; a block of texts
+sends its distinct words and pairs to the buckets and gets levels and exact counts back."""
 
 from __future__ import annotations
 
@@ -14,10 +15,10 @@ from .common import buffers, mixed, remainder, small_batches, words, written
 
 #: Tokens that a task sorts at once, and bytes of texts that it hashes at once.
 TOKENS, TOGETHER = 2_000_000, 4 << 20
-#: Words with exact counts that are broadcast at most, the most frequent ones; the rest is looked up by a shuffle.
+#: Has no effect any more, as every word is looked up by a shuffle; tests set it.
 FREQUENT = 1 << 19
-#: Bits of the filter at most, and for each entry; probes for each entry.
-MOST_BITS, BITS_EACH, PROBES = 1 << 28, 12, 2
+#: Bits of the filter for each entry, at least; probes for each entry.
+BITS_EACH, PROBES = 12, 2
 #: Weight of pairs of words against single words.
 PAIRS = 0.3
 #: The end of a text, a token of its own.
@@ -149,9 +150,7 @@ def _sum(batches):
         kinds, total = len(h), int(n.sum())
         if order == 2:
             h, n = h[n > 1], n[n > 1]
-        entries = int((level(n) if order == 2 else word_level(n)).sum())
-        sizes = np.bincount(np.minimum(word_level(n), 127), minlength=128) if order == 1 else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([order], pa.int32()), pa.array([bucket], pa.int32()), pa.array([planes(h)], pa.binary()), pa.array([planes(n)], pa.binary()), pa.array([kinds]), pa.array([total]), pa.array([entries]), pa.array([sizes.tolist()], pa.list_(pa.int64()))], names=["order", "bucket", "h", "n", "kinds", "total", "entries", "sizes"])
+        yield pa.RecordBatch.from_arrays([pa.array([order], pa.int32()), pa.array([bucket], pa.int32()), pa.array([planes(h)], pa.binary()), pa.array([planes(n)], pa.binary()), pa.array([kinds]), pa.array([total])], names=["order", "bucket", "h", "n", "kinds", "total"])
 
     for b in batches:
         for order, bucket, h, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -172,18 +171,22 @@ def _places(h: np.ndarray, j: np.ndarray | int, segment: int) -> list[np.ndarray
     return [((a + np.uint64(i) * b) & np.uint64(segment - 1)).astype(np.int64) for i in range(PROBES)]
 
 
+def _mark(there: np.ndarray, order: int, h: np.ndarray, n: np.ndarray) -> None:
+    """Sets the bits of entries (n-gram, 1 .. level)."""
+    k = level(n) if order == 2 else word_level(n)
+    for j in range(1, int(k.max(initial=0)) + 1):
+        for at in _places(h[k >= j] + np.uint64(order), j, len(there)):
+            there[at] = True
+
+
 def _segments(bits: int, segment: int):
     """A bucket's part of the filter: entries (word, 1 .. level) and (pair, 1 .. level)."""
 
     def run(batches):
         for b in batches:
             for order, bucket, h, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                h, n = unplaned(h), unplaned(n)
-                k = level(n) if order == 2 else word_level(n)
                 there = np.zeros(segment, bool)
-                for j in range(1, int(k.max(initial=0)) + 1):
-                    for at in _places(h[k >= j] + np.uint64(order), j, segment):
-                        there[at] = True
+                _mark(there, order, unplaned(h), unplaned(n))
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(there, bitorder="little").tobytes()], pa.binary())], names=["bucket", "part"])
 
     return run
@@ -212,140 +215,141 @@ class Filter:
         return out
 
 
-class Model:
-    """What scoring needs, all of bounded size: the filter, the most frequent words, and a few sums."""
-
-    def __init__(self, bits, segment, parts, frequent, counts, n, v):
-        self.bits, self.frequent, self.counts, self.n, self.v = bits, frequent, counts, n, v
-        self.filter = Filter(parts, bits, segment)
-
-    def base(self, c: np.ndarray) -> np.ndarray:
-        return np.log10((c + 1.0) / (self.n + 1 * (self.v + 1)))
-
-    def log10(self, h: np.ndarray, before: np.ndarray, kinds: np.ndarray, which: np.ndarray) -> np.ndarray:
-        """Of tokens h = kinds[which] after `before`: a mixture of pair and word probabilities from the filter's levels."""
-        got = self.filter.levels(kinds, 1)
-        count = np.where(got > 0, 2.0 ** ((got - 1) / 2 + 0.25), 0.0)
-        single = (count + 1) / (self.n + self.v + 1)
-        of_pair = self.filter.levels(pair(before, h), 2)
-        seen = np.where(of_pair > 0, 1.4 * 2.0**of_pair, 0.0)
-        of_before = np.append(END, h[:-1])
-        same = of_before == before  # the word before is the token before, but for the first of a run
-        c_before = np.where(same, np.append(0.0, count[which][:-1]), 0.0)
-        first = np.flatnonzero(~same | (np.arange(len(h)) == 0))
-        if len(first):
-            g = self.filter.levels(before[first], 1)
-            c_before[first] = np.where(g > 0, 2.0 ** ((g - 1) / 2 + 0.25), 0.0)
-        ratio = np.minimum(1.0, seen / np.maximum(c_before, 1.0))
-        return np.log10(np.minimum(1.0, PAIRS * ratio + (1 - PAIRS) * single[which]))
-
-
-def train(docs: DataFrame, mod: int = 7, held: int = 2) -> tuple[tuple, DataFrame]:
-    """The parts of a Model, and the table of exact word counts by bucket, from rows whose crc32(doc_id) mod `mod` is not `held`."""
+def segment_of(counts: dict[int, tuple[np.ndarray, np.ndarray]]) -> Filter:
+    """The filter's segment of one bucket from the counts (hashes, counts) of each order: as many bits as its entries need."""
+    entries = sum(int((level(n) if order == 2 else word_level(n)).sum()) for order, (_, n) in counts.items())
+    segment = max(64, 1 << (BITS_EACH * entries - 1).bit_length() if entries else 0)
+    there = np.zeros(segment, bool)
+    for order, (h, n) in counts.items():
+        _mark(there, order, h, n)
+    return Filter(np.packbits(there, bitorder="little"), 0, segment)
+
+
+def log10(of_words: np.ndarray, of_pairs: np.ndarray, which: np.ndarray, end: int, n: int, v: int) -> np.ndarray:
+    """Of tokens: a mixture of pair and word probabilities from the filter's levels of the distinct words and of each token's
+    pair. which: the word of each token; end: the word that stands before the first."""
+    count = np.where(of_words > 0, 2.0 ** ((of_words - 1) / 2 + 0.25), 0.0)
+    single = (count + 1) / (n + v + 1)
+    seen = np.where(of_pairs > 0, 1.4 * 2.0**of_pairs, 0.0)
+    ratio = np.minimum(1.0, seen / np.maximum(count[np.append(end, which[:-1])], 1.0))
+    return np.log10(np.minimum(1.0, PAIRS * ratio + (1 - PAIRS) * single[which]))
+
+
+def train(docs: DataFrame, mod: int = 7, held: int = 2) -> tuple[DataFrame, int, int, int]:
+    """The table of counts by bucket, log2 of the buckets, and how many tokens and different words there are, from rows whose
+    crc32(doc_id) mod `mod` is not `held`."""
     spark = docs.sparkSession
-    small_batches(spark, 1000)  # words that repeat in a batch are looked up once
+    small_batches(spark, 1000)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max(4, (n_parts - 1).bit_length())
     own = docs.where(remainder(F.col("doc_id"), mod) != held).select(F.col("text").cast("string"))
     blobs = own.mapInArrow(_count(bits), BLOBS).repartition(n_parts, "bucket").sortWithinPartitions("bucket", "order")
-    summed = written(blobs.mapInArrow(_sum, "order int, bucket int, h binary, n binary, kinds long, total long, entries long, sizes array<long>"))
-    of_words = summed.where("`order` = 1")
-    n, v = of_words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-    entries = summed.agg(F.coalesce(F.sum("entries"), F.lit(0))).first()[0]
-    # the filter: as many bits as its entries need, and never more than MOST_BITS
-    total = min(MOST_BITS, max(1 << 16, 1 << (BITS_EACH * entries - 1).bit_length() if entries else 0))
-    segment = max(64, total >> bits)
-    parts = np.zeros(segment << bits >> 3, np.uint8)
-    size = segment >> 3
-    for r in summed.select("order", "bucket", "h", "n").mapInArrow(_segments(bits, segment), "bucket int, part binary").toLocalIterator():
-        parts[r["bucket"] * size : (r["bucket"] + 1) * size] |= np.frombuffer(r["part"], np.uint8)
-    # words of the levels that hold FREQUENT words together
-    by_level = {r[0]: r[1] for r in of_words.select(F.posexplode("sizes")).groupBy("pos").agg(F.sum("col")).collect()}
-    least, room = 128, FREQUENT
-    while least > 1 and by_level.get(least - 1, 0) <= room:
-        least -= 1
-        room -= by_level.get(least, 0)
-
-    def frequent(batches):
-        for b in batches:
-            for h, c in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                h, c = unplaned(h), unplaned(c).astype(np.int64)
-                top = np.minimum(word_level(c), 127) >= least
-                yield pa.RecordBatch.from_arrays([pa.array([h[top].tobytes()], pa.binary()), pa.array([c[top].tobytes()], pa.binary())], names=["h", "n"])
+    summed = written(blobs.mapInArrow(_sum, "order int, bucket int, h binary, n binary, kinds long, total long"))
+    n, v = summed.where("`order` = 1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    return summed.select("order", "bucket", "h", "n"), bits, int(n), int(v)
+
 
-    top = of_words.select("h", "n").mapInArrow(frequent, "h binary, n binary").collect()
-    h = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["h"], np.uint64) for r in top)])
-    c = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["n"], np.int64) for r in top)])
-    o = np.argsort(h)
-    return (bits, segment, parts, h[o], c[o], int(n), int(v)), of_words.select("bucket", "h", "n")
+COUNTS, ASKED, BLOCK = 0, 1, 2
+ROWS = "kind int, k long, order int, bucket int, h binary, n binary, docs binary"
+_KINDS = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
 
-SCORED = "id long, doc_id long, n_tokens long, n_known long, base_score double, score double, bucket int, ids binary, h binary"
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=["kind", "k", "order", "bucket", "h", "n", "docs"])
 
 
-def _score(model):
+def _asked(bits: int):
+    """Blocks of texts: a row with the tokens, as numbers of the block's distinct words, and rows that ask each bucket for
+    the block's words and pairs."""
     from pyspark import TaskContext
 
     def run(batches):
-        m, row = Model(*model.value), TaskContext.get().partitionId() << 40
-        names = ["id", "doc_id", "n_tokens", "n_known", "base_score", "score", "bucket", "ids", "h"]
-        rare_h, rare_id, held = [], [], 0
+        k = TaskContext.get().partitionId() << 32
+        hs, ids, null, lens, held = [], [], [], [], 0
 
         def flush():
-            h, i = np.concatenate(rare_h), np.concatenate(rare_id)
-            o = np.argsort(h, kind="stable")
-            h, i = h[o], i[o]
-            at = _by_bucket(h, m.bits)
-            full = np.flatnonzero(np.diff(at))
-            k = len(full)
-            none = [pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-            return pa.RecordBatch.from_arrays([*none, pa.array(full, pa.int32()), pa.array([planes(i[at[x] : at[x + 1]]) for x in full], pa.binary()), pa.array([planes(h[at[x] : at[x + 1]]) for x in full], pa.binary())], names=names)
+            h = np.concatenate(hs)
+            kinds, which = np.unique(h, return_inverse=True)
+            docs = np.concatenate(ids).tobytes() + np.concatenate(lens).tobytes() + np.concatenate(null).tobytes()
+            yield _rows([(BLOCK, k, 0, int(mixed(np.array([k], np.uint64))[0] >> np.uint64(64 - bits)), planes(kinds), which.astype(np.uint32).tobytes(), docs)])
+            for order, x in ((1, kinds), (2, np.unique(pair(np.append(END, h[:-1]), h)))):
+                at = _by_bucket(x, bits)
+                yield _rows([(ASKED, k, order, int(i), planes(x[at[i] : at[i + 1]]), None, None) for i in np.flatnonzero(np.diff(at))])
 
         for b in batches:
             for first, data, offsets in _runs(b.column(1)):
                 n = len(offsets) - 1
-                h, before, doc = tokens(data, offsets)
-                kinds, which = np.unique(h, return_inverse=True)
-                at = np.minimum(np.searchsorted(m.frequent, kinds), max(len(m.frequent) - 1, 0))
-                there = m.frequent[at] == kinds if len(m.frequent) else np.zeros(len(kinds), bool)
-                base = np.where(there, m.base(m.counts[at] if len(m.frequent) else 0), 0.0)
-                known = np.bincount(doc, there[which], minlength=n).astype(np.int64)
-                rare = np.flatnonzero(~there[which])
-                if len(rare):
-                    rare_h.append(h[rare])
-                    rare_id.append((doc[rare] + row).astype(np.uint64))
-                    held += len(rare)
-                s = np.bincount(doc, m.log10(h, before, kinds, which), minlength=n)
-                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), b.column(0)[first : first + n], pa.array(np.bincount(doc, minlength=n)), pa.array(known), pa.array(np.bincount(doc, base[which], minlength=n)), pa.array(s), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
-                row += n
+                h, _, doc = tokens(data, offsets)
+                own = b.column(0)[first : first + n]
+                hs.append(h)
+                ids.append(own.fill_null(0).to_numpy(zero_copy_only=False))
+                null.append(own.is_null().to_numpy(zero_copy_only=False))
+                lens.append(np.bincount(doc, minlength=n))
+                held += len(h)
                 if held > TOKENS:
-                    yield flush()
-                    rare_h, rare_id, held = [], [], 0
+                    yield from flush()
+                    hs, ids, null, lens, held = [], [], [], [], 0
+                    k += 1
         if held:
-            yield flush()
+            yield from flush()
 
     return run
 
 
-def _looked_up(n: int, v: int):
-    """(id, known, base) of the rare words of texts; rows come sorted by bucket, the exact counts of a bucket first."""
+def _answered(batches):
+    """Levels of the words and pairs that blocks ask for, and exact counts of the words; rows come sorted by bucket, the counts
+    of a bucket first."""
+    at, counts, segment, out, size = None, {}, None, [], 0
+    for b in batches:
+        for kind, k, order, bucket, h, n, docs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if at != bucket:
+                at, counts, segment = bucket, {}, None
+            if kind == COUNTS:
+                counts[order] = unplaned(h), unplaned(n).astype(np.int64)
+                continue
+            if kind == ASKED:
+                segment = segment or segment_of(counts)
+                seen, n = unplaned(h), None
+                h = segment.levels(seen, order).astype(np.uint8).tobytes()
+                if order == 1:
+                    there, c = counts.get(1, (seen[:0], np.zeros(0, np.int64)))
+                    p = np.minimum(np.searchsorted(there, seen), max(len(there) - 1, 0))
+                    n = planes(np.where(there[p] == seen, c[p], 0) if len(there) else np.zeros(len(seen), np.int64))
+            out.append((kind, k, order, bucket, h, n, docs))
+            size += len(h) + len(n or b"")
+            if size > TOGETHER:
+                yield _rows(out)
+                out, size = [], 0
+    if out:
+        yield _rows(out)
+
+
+def _scored(n: int, v: int):
+    """Scores of a block's texts; rows come sorted by block, the answers first, by order and bucket."""
+
+    def out(answers, block):
+        kinds, which = unplaned(block[0]), np.frombuffer(block[1], np.uint32).astype(np.int64)
+        d = len(block[2]) // 17
+        ids, lens, null = np.frombuffer(block[2], np.int64, d), np.frombuffer(block[2], np.int64, d, 8 * d), np.frombuffer(block[2], bool, d, 16 * d)
+        h = kinds[which]
+        _, own = np.unique(pair(np.append(END, h[:-1]), h), return_inverse=True)
+        levels = {o: np.frombuffer(b"".join(x for x, _ in answers[o]), np.uint8).astype(np.int64) for o in (1, 2)}
+        count = np.concatenate([unplaned(c) for _, c in answers[1]]).astype(np.int64)
+        base = np.log10((count + 1.0) / (n + 1 * (v + 1)))
+        s = log10(levels[1], levels[2][own], which, int(np.searchsorted(kinds, END)), n, v)
+        doc = np.repeat(np.arange(d), lens)
+        sums = [np.bincount(doc, x, minlength=d) for x in ((count > 0)[which], base[which], s)]
+        return pa.RecordBatch.from_arrays([pa.array(ids, mask=null), pa.array(lens), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     def run(batches):
-        at, h, c = None, None, None
+        answers = {1: [], 2: []}
         for b in batches:
-            for kind, bucket, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if kind == 0:
-                    at, h, c = bucket, unplaned(x), unplaned(y).astype(np.int64)
-                    continue
-                ids, seen = unplaned(y), unplaned(x)
-                if at == bucket and len(h):
-                    p = np.minimum(np.searchsorted(h, seen), len(h) - 1)
-                    count = np.where(h[p] == seen, c[p], 0)
+            for kind, _, order, _, h, c, docs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if kind == ASKED:
+                    answers[order].append((h, c))
                 else:
-                    count = np.zeros(len(seen), np.int64)
-                own, which = np.unique(ids, return_inverse=True)
-                base = np.log10((count + 1.0) / (n + 1 * (v + 1)))
-                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), pa.array(np.bincount(which, count > 0).astype(np.int64)), pa.array(np.bincount(which, base))], names=["k", "known", "base"])
+                    yield out(answers, (h, c, docs))
+                    answers = {1: [], 2: []}
 
     return run
 
@@ -354,18 +358,13 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
 
     Null counts as empty: one token, the end. Rows that repeat count each. Without training rows every word is unknown
-    and N and V are 0. The filter has 12 bits for each entry up to 2^28 bits, 32 MB, in all; beyond that it answers more
-    often for n-grams it doesn't hold, while base_score stays exact."""
-    spark = docs.sparkSession
-    parts, exact = train(docs, mod, held)
-    n, v = parts[-2:]
-    model = spark.sparkContext.broadcast(parts)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    scored = written(rows.mapInArrow(_score(model), SCORED))
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rare = scored.where("bucket is not null").select(F.lit(1).alias("kind"), "bucket", F.col("h").alias("x"), F.col("ids").alias("y"))
-    both = exact.select(F.lit(0).alias("kind"), "bucket", F.col("h").alias("x"), F.col("n").alias("y")).union(rare)
-    more = both.repartition(n_parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_looked_up(n, v), "k long, known long, base double")
-    more = more.groupBy("k").agg(F.sum("known").alias("known"), F.sum("base").alias("base"))
-    out = scored.where("bucket is null").join(more, F.col("id") == F.col("k"), "left")
-    return out.select("doc_id", (remainder(F.col("doc_id"), mod) == held).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("base", F.lit(0.0))).alias("base_score"), "score")
+    and N and V are 0. The filter has 12 bits for each entry at least, however many there are: one answer in 40 at most is
+    falsely true, over any corpus."""
+    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts, bits, n, v = train(docs, mod, held)
+    asked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_asked(bits), ROWS)
+    counts = counts.select(F.lit(COUNTS).alias("kind"), F.lit(0).cast("long").alias("k"), "order", "bucket", "h", "n", F.lit(None).cast("binary").alias("docs"))
+    both = counts.union(asked).repartition(n_parts, "bucket").sortWithinPartitions("bucket", "kind")
+    answers = both.mapInArrow(_answered, ROWS).repartition(n_parts, "k").sortWithinPartitions("k", "kind", "order", "bucket")
+    out = answers.mapInArrow(_scored(n, v), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", (remainder(F.col("doc_id"), mod) == held).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

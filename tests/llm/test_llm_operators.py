@@ -336,6 +336,17 @@ def test_filter_levels():
     assert (f.levels(rng.integers(1 << 61, 1 << 62, 2000).astype(np.uint64), 1) > 0).mean() < 0.1
 
 
+def test_filter_grows():
+    """A segment has bits for all of its entries, beyond 2^28 in all as well."""
+    rng = np.random.default_rng(3)
+    for size in (1000, 23_000_000):
+        h = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        f = lm.segment_of({1: (h, np.ones(len(h), np.int64))})
+        assert f.segment >= lm.BITS_EACH * len(h) and (f.levels(h[:1000], 1) >= 1).all()
+        assert (f.levels(rng.integers(1 << 63, (1 << 64) - 1, 20_000, np.uint64), 1) > 0).mean() < 0.03
+    assert f.segment > 1 << 28
+
+
 # --- 8 -----------------------------------------------------------------------------------------------------------
 
 
