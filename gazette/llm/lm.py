@@ -122,8 +122,13 @@ def _count(bits: int):
 
 
 def level(n: np.ndarray) -> np.ndarray:
-    """Quantised count: log2, rounded down. A pair seen once has level 0 and needs no entry."""
-    return np.log2(np.maximum(n, 1)).astype(np.int64)
+    """Quantised count of a pair: 1 + log2, rounded down."""
+    return 1 + np.log2(np.maximum(n, 1)).astype(np.int64)
+
+
+def pair_count(of_pair: np.ndarray) -> np.ndarray:
+    """The count that a pair's level stands for; exact for none and one."""
+    return np.where(of_pair > 1, 1.4 * 2.0 ** (of_pair - 1), of_pair > 0)
 
 
 def word_level(n: np.ndarray) -> np.ndarray:
@@ -148,8 +153,6 @@ def _sum(batches):
         at = np.flatnonzero(new)
         h, n = h[at], np.add.reduceat(n, at)
         kinds, total = len(h), int(n.sum())
-        if order == 2:
-            h, n = h[n > 1], n[n > 1]
         yield pa.RecordBatch.from_arrays([pa.array([order], pa.int32()), pa.array([bucket], pa.int32()), pa.array([planes(h)], pa.binary()), pa.array([planes(n)], pa.binary()), pa.array([kinds]), pa.array([total])], names=["order", "bucket", "h", "n", "kinds", "total"])
 
     for b in batches:
@@ -230,8 +233,7 @@ def log10(of_words: np.ndarray, of_pairs: np.ndarray, which: np.ndarray, end: in
     pair. which: the word of each token; end: the word that stands before the first."""
     count = np.where(of_words > 0, 2.0 ** ((of_words - 1) / 2 + 0.25), 0.0)
     single = (count + 1) / (n + v + 1)
-    seen = np.where(of_pairs > 0, 1.4 * 2.0**of_pairs, 0.0)
-    ratio = np.minimum(1.0, seen / np.maximum(count[np.append(end, which[:-1])], 1.0))
+    ratio = np.minimum(1.0, pair_count(of_pairs) / np.maximum(count[np.append(end, which[:-1])], 1.0))
     return np.log10(np.minimum(1.0, PAIRS * ratio + (1 - PAIRS) * single[which]))
 
 

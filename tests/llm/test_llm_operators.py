@@ -347,6 +347,21 @@ def test_filter_grows():
     assert f.segment > 1 << 28
 
 
+def test_pairs_seen_once(spark):
+    """Scores are near brute force with every pair, those seen once too, but for the few falsely true answers."""
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 150)) for i in range(60)]
+    got = {r["doc_id"]: r for r in rows_of(lm.score(docs_of(spark, rows)))}
+    cut = {i: [None, *t.split(), None] for i, t in rows}
+    train = [w for i in cut if not got[i]["held_out"] for w in zip(cut[i], cut[i][1:], strict=False)]
+    pairs, count = Counter(train), Counter(w for _, w in train)
+    near = lambda n: 2.0 ** ((lm.word_level(np.array(n)) - 1) / 2 + 0.25) if n else 0.0
+    of_pair = lambda n: n if n < 2 else 1.4 * 2 ** int(np.log2(n))
+    want = {i: sum(np.log10(0.3 * min(1, of_pair(pairs[a, b]) / max(near(count[a]), 1)) + 0.7 * (near(count[b]) + 1) / (len(train) + len(count) + 1)) for a, b in zip(c, c[1:], strict=False)) for i, c in cut.items()}
+    assert sum(pairs[p] == 1 for p in pairs) > 0.9 * len(pairs)
+    assert all(abs(got[i]["score"] - want[i]) < 0.05 * -want[i] for i in want)
+
+
 # --- 8 -----------------------------------------------------------------------------------------------------------
 
 
