@@ -12,9 +12,22 @@ from gazette.llm import exact, packing, quality, simhash, suffix
 from gazette.llm.common import dropped, table, written
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among ids (one column, each id once)."""
-    return docs.join(ids.toDF("_kept"), docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, _row, fixed by writing it."""
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _firsts(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of docs for each group: that of the smallest doc_id, null last, and of the smallest number among its rows.
+
+    docs: as _numbered() makes it; groups: (number of the row, group) of each of its rows."""
+    of = groups.toDF("_row", "_group").join(docs.select("_row", "doc_id"), "_row")
+    kept = of.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")).select(F.col("first._row").alias("_kept"))
+    return docs.join(kept, F.col("_row") == F.col("_kept"), "left_semi").drop("_row")
+
+
+def _by_row(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("_row").alias("doc_id"), "text")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,13 +37,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the smallest id stays."""
-    return _only(docs, exact.exact_dedup(docs).where("kept").select("doc_id").distinct())
+    """Of equal texts one row stays, of the smallest id."""
+    docs = _numbered(docs)
+    return _firsts(docs, exact.exact_dedup(_by_row(docs)).select("doc_id", "keep_id"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    return _only(docs, simhash.near_dedup(docs).where("doc_id <=> component_id").select("doc_id").distinct())
+    """Of each group of near copies one row stays, of the smallest id."""
+    docs = _numbered(docs)
+    return _firsts(docs, simhash.near_dedup(_by_row(docs)).select("doc_id", "component_id"))
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

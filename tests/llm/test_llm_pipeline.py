@@ -1,11 +1,12 @@
 """The pipeline stage by stage, each against brute force on its own input."""
 
+import random
 import re
 
 import numpy as np
 import public_tokenizers
 from conftest import DATA
-from test_llm_operators import slow_fingerprint, slow_removal
+from test_llm_operators import docs_of, prose, slow_fingerprint, slow_removal
 
 import corpus_pipeline as c
 from gazette.llm import quality
@@ -45,3 +46,27 @@ def test_stages(spark):
 
 def test_run(spark):
     assert c.run(spark, f"{DATA}/sf0.001").count() > 100
+
+
+def test_repeated_rows(spark):
+    """Rows that repeat, null ids and an id with two texts: of each text one row stays."""
+    rng = random.Random(12)
+    a, b, d, e, g = (prose(rng, 150) for _ in range(5))
+    rows = [(1, a), (1, a), (2, b), (None, b), (None, d), (None, d), (None, e), (3, g), (3, a)]
+    docs = docs_of(spark, rows)
+    want = [(None, d), (None, e), (1, a), (2, b), (3, g)]
+    for stages in (["exact dedup"], ["simhash near-dedup"], ["exact dedup", "simhash near-dedup", "suffix-array dedup"]):
+        out = docs
+        for name, stage in c.STAGES:
+            out = stage(spark, out, None) if name in stages else out
+        assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_run_repeated(spark, tmp_path):
+    """A table that holds every row twice packs like the table itself."""
+    d = f"{DATA}/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    docs.union(docs).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{d}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    total = lambda at: sum(r["length"] for r in c.run(spark, at).collect())
+    assert total(str(tmp_path)) > 0.9 * total(d)
