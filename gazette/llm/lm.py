@@ -62,13 +62,13 @@ def counted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[at], np.diff(np.append(at, len(h)))
 
 
-def planes(x: np.ndarray) -> bytes:
-    """The bytes of 64-bit values, all first bytes first; sorted values compress better so."""
-    return np.ascontiguousarray(x.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+def planes(x: np.ndarray, width: int = 8) -> bytes:
+    """The bytes of values of `width` bytes, all first bytes first; sorted or small values compress better so."""
+    return np.ascontiguousarray(x.astype(f">u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
 
 
-def unplaned(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
+def unplaned(b: bytes, width: int = 8) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).view(f">u{width}").ravel().astype(np.uint64)
 
 
 def _by_bucket(h: np.ndarray, bits: int) -> np.ndarray:
@@ -273,7 +273,7 @@ def _asked(bits: int):
             h = np.concatenate(hs)
             kinds, which = np.unique(h, return_inverse=True)
             docs = np.concatenate(ids).tobytes() + np.concatenate(lens).tobytes() + np.concatenate(null).tobytes()
-            yield _rows([(BLOCK, k, 0, int(mixed(np.array([k], np.uint64))[0] >> np.uint64(64 - bits)), planes(kinds), which.astype(np.uint32).tobytes(), docs)])
+            yield _rows([(BLOCK, k, 0, int(mixed(np.array([k], np.uint64))[0] >> np.uint64(64 - bits)), planes(kinds), planes(which, 4), docs)])
             for order, x in ((1, kinds), (2, np.unique(pair(np.append(END, h[:-1]), h)))):
                 at = _by_bucket(x, bits)
                 yield _rows([(ASKED, k, order, int(i), planes(x[at[i] : at[i + 1]]), None, None) for i in np.flatnonzero(np.diff(at))])
@@ -330,7 +330,7 @@ def _scored(n: int, v: int):
     """Scores of a block's texts; rows come sorted by block, the answers first, by order and bucket."""
 
     def out(answers, block):
-        kinds, which = unplaned(block[0]), np.frombuffer(block[1], np.uint32).astype(np.int64)
+        kinds, which = unplaned(block[0]), unplaned(block[1], 4).astype(np.int64)
         d = len(block[2]) // 17
         ids, lens, null = np.frombuffer(block[2], np.int64, d), np.frombuffer(block[2], np.int64, d, 8 * d), np.frombuffer(block[2], bool, d, 16 * d)
         h = kinds[which]
