@@ -102,17 +102,47 @@ def test_embeddings(spark):
     assert got[None]["n_links"] == 0
 
 
-def test_forest_recall(spark):
-    """With leaves far smaller than the table, at least 0.9 of all links are found."""
-    rng = np.random.default_rng(4)
-    x = rng.normal(size=(3000, 32))
-    x[1::2] = x[::2] + rng.normal(size=(1500, 32)) * 0.15
-    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
-    c = embeddings.classes_of(v).select("id", "e", "dim")
-    found = embeddings.pairs(c, leaf=150).count()
+def planted_vectors(spark, n, dim, noise, seed):
+    """Vectors, every second one near the one before it, and how many links there are."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim)).astype(np.float32)
+    x[1::2] = x[::2] + rng.normal(size=(n // 2, dim)).astype(np.float32) * np.float32(noise)
+    u = x / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    real = sum(int((u[i : i + 2000] @ u[i:].T >= 0.95).sum()) for i in range(0, n, 2000)) if n <= 5000 else int(((u[::2] * u[1::2]).sum(1) >= 0.95).sum())
+    real = real if n > 5000 else int(np.triu(u @ u.T >= 0.95, 1).sum())
+    return embeddings.classes_of(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")), real
+
+
+def counted_links(c, **how):
+    return embeddings.links(c, **how).agg(F.sum("n")).first()[0] // 2
+
+
+@pytest.mark.parametrize("how", [{"leaf": 150}, {"leaf": 100, "sample": 300}, {"leaf": 150, "chunk": 40}])
+def test_forest_recall(spark, how):
+    """With leaves far smaller than the table, with a sample too small for all splits, and with pairs of chunks: at least 0.9
+    of all links are found, and none twice."""
+    c, real = planted_vectors(spark, 3000, 32, 0.2, 4)
+    assert 0.9 * real <= counted_links(c, **how) <= real and real > 500
+
+
+def test_forest_recall_as_it_runs(spark):
+    """With the parameters of the query, over 50,000 vectors: most links are barely above the threshold."""
+    c, real = planted_vectors(spark, 50_000, 32, 0.32, 5)
+    assert 0.9 * real <= counted_links(c) <= real and real > 5000
+
+
+def test_dense_group(spark):
+    """A group that no split can part: one leaf, compared in pairs of chunks, each pair counted once."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=32) + rng.normal(size=(900, 32)) * 0.2
+    c = embeddings.classes_of(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>"))
     u = x / np.linalg.norm(x, axis=1)[:, None]
-    real = int(np.triu(u @ u.T >= 0.95, 1).sum())
-    assert 0.9 * real <= found <= real and real > 500
+    real = (u @ u.T >= 0.95) & ~np.eye(900, dtype=bool)
+    assert not embeddings.overlap(900, 50) > 0.1
+    for chunk in (3000, 100):
+        found = embeddings.links(c, leaf=50, chunk=chunk)
+        got = {r["a"]: r["n"] for r in found.groupBy("a").agg(F.sum("n").alias("n")).collect()}
+        assert sum(got.values()) > 0.97 * real.sum() and all(got.get(i, 0) <= real[i].sum() for i in range(900))
 
 
 # --- 2 -----------------------------------------------------------------------------------------------------------
@@ -288,7 +318,7 @@ def test_long_text_in_parts(monkeypatch):
     whole = list(suffix._stretches(400, 32)([pa.RecordBatch.from_arrays([pa.array([b"k"]), pa.array([text])], names=["sha", "text"])]))
     monkeypatch.setattr(suffix, "TOGETHER", 1000)
     parts = list(suffix._stretches(400, 32)([pa.RecordBatch.from_arrays([pa.array([b"k"]), pa.array([text])], names=["sha", "text"])]))
-    covered = lambda bs: sorted(s + k for b in bs for s, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) for k in range(n))
+    covered = lambda bs: sorted(s + k for b in bs for starts, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) for s in starts for k in range(n))
     assert covered(whole) == covered(parts) == list(range(len(text) - 399))
 
 

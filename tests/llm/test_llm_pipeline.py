@@ -2,11 +2,13 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 from conftest import DATA
-from test_llm_operators import docs_of, prose, slow_fingerprint, slow_removal
+from pyspark.sql import functions as F
+from test_llm_operators import docs_of, prose, slow_fingerprint
 
 import corpus_pipeline as c
 from gazette.llm import quality
@@ -36,16 +38,57 @@ def test_stages(spark):
     root = reached(*np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4), len(ids))
     assert set(seen[3]) == {ids[r] for r in root}
     ids = sorted(seen[3])
-    kept = {i: w for i, w in zip(ids, slow_removal([seen[3][i] for i in ids], 400), strict=True)}
-    assert all(seen[4][i] == seen[3][i] for i in seen[4] if kept[i][1] == 0)
-    assert set(seen[4]) == {i for i in ids if kept[i][1] < kept[i][0] and seen[3][i].strip()} or len(ids) - len(seen[4]) <= sum(kept[i][1] > 0 for i in ids)
+    kept = dict(zip(ids, slow_kept([seen[3][i] for i in ids], c.PASSAGE), strict=True))
+    assert seen[4] == {i: t for i, t in kept.items() if t.strip(" ")} and any(kept[i] != seen[3][i] for i in ids)
     packed = c.STAGES[-1][1](spark, tables[-1], d).collect()
     ids_of = word_ids(public_tokenizers.path("word_bpe_49k.json"))
     assert sum(r["length"] for r in packed) == sum(len(ids_of(t)) // 4 + 1 for t in seen[4].values())
 
 
+def slow_kept(texts, width):
+    """Texts without the bytes of repeated windows; bytes of characters cut in two go, too."""
+    raw = [(t or "").encode() for t in texts]
+    count = Counter(b[i : i + width] for b in raw for i in range(len(b) - width + 1))
+    out = []
+    for b in raw:
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - width + 1):
+            if count[b[i : i + width]] > 1:
+                gone[i : i + width] = True
+        out.append(bytes(x for x, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore"))
+    return out
+
+
 def test_run(spark):
-    assert c.run(spark, f"{DATA}/sf0.001").count() > 100
+    """run() gives the pieces of what the stages, one after another, keep."""
+    d = f"{DATA}/sf0.001"
+    out = spark.read.parquet(f"{d}/documents.parquet")
+    for _, stage in c.STAGES:
+        out = stage(spark, out, d)
+    pieces = lambda df: sorted((r["doc_id"], r["doc_tokens"]) for r in df.select("doc_id", "doc_tokens").distinct().collect())
+    assert pieces(c.run(spark, d)) == pieces(out) and out.count() > 100
+
+
+def test_passages(spark):
+    """Passages of over 50 words that two documents share go from both; texts of their own stay whole."""
+    rng = random.Random(3)
+    passage = prose(rng, 60)
+    own = [prose(rng, 80) for _ in range(6)]
+    rows = [(0, f"{own[0]} {passage} {own[1]}"), (1, f"{own[2]} {passage}"), (2, own[3]), (3, f"{own[4]} {' '.join(passage.split()[:12])}"), (4, own[5])]
+    got = {r["doc_id"]: r["text"] for r in c.cut_passages(spark, docs_of(spark, rows), None).collect()}
+    assert all(passage not in t for t in got.values()) and all(got[i] == t for i, t in rows[2:])
+
+
+def test_odd_columns(spark):
+    """Columns with the names that stages use themselves, null and empty texts, and empty tables."""
+    rng = random.Random(6)
+    rows = [(1, prose(rng, 90)), (2, None), (3, ""), (3, ""), (None, prose(rng, 90))]
+    for docs in (docs_of(spark, rows), docs_of(spark, [])):
+        docs = docs.withColumns({k: F.lit("x") for k in ("score", "_score", "row", "_row", "kept", "n", "k", "of")})
+        for _, stage in c.STAGES[:-1]:
+            out = stage(spark, docs, f"{DATA}/sf0.001")
+            assert out.columns == docs.columns and out.count() <= docs.count()
+        assert c.STAGES[-1][1](spark, docs, None).count() == (docs.count() > 0) * len(rows)
 
 
 def test_repeated_rows(spark):
