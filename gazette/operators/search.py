@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -55,7 +56,11 @@ def fits_query(text: Column, query: str, stem: bool = False) -> Column:
     """Whether a text fits a query; a query of nothing but stop words fits none."""
     have = words(text)
     have = stems(have) if stem else have
+    # bound to a variable, so that the words of a text are cut out once for all conditions
+    return F.transform(F.array(have), lambda w: _fits(w, query, stem))[0]
 
+
+def _fits(have: Column, query: str, stem: bool) -> Column:
     def one(ws: list[str]) -> Column:
         ws = [stemmed(w) for w in ws] if stem else ws
         needed = [w for w in ws if w not in STOP]
@@ -75,6 +80,44 @@ def fits_query(text: Column, query: str, stem: bool = False) -> Column:
     return out
 
 
+def _finder(terms):
+    @F.pandas_udf(ArrayType(StringType()))
+    def found(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for t in terms.value:
+            machine.add_word(t, t)
+        machine.make_automaton()
+        for s in texts:
+            yield s.map(lambda x: sorted({t for _, t in machine.iter(x)}) if x is not None else None)
+
+    return found
+
+
+def with_terms(docs: DataFrame, text: str, terms: DataFrame, name: str, block: int = 20_000) -> DataFrame:
+    """docs with an array of those of terms (term) that stand somewhere in a text, each once; empty and null terms stand in none.
+
+    The terms are a set of queries: they go to the workers in blocks, and for each block an automaton reads every text once,
+    however many terms there are. The text moves through no shuffle."""
+    spark, parts, held = docs.sparkSession, [], []
+    for r in terms.where("term <> ''").distinct().toLocalIterator():
+        held.append(r["term"])
+        if len(held) == block:
+            parts, held = [*parts, held], []
+    found = [_finder(spark.sparkContext.broadcast(sorted(p)))(F.col(text)) for p in [*parts, *([held] if held else [])]]
+    return docs.withColumn(name, F.concat(*found) if found else F.array().cast("array<string>"))
+
+
+def with_phrases(docs: DataFrame, text: str, phrases: DataFrame, phrase: str) -> DataFrame:
+    """docs joined with those of phrases whose text, in any case of letters, stands in theirs. The empty phrase stands in all
+    texts; null ones and null texts fit nothing."""
+    p = phrases.where(F.col(phrase).isNotNull()).withColumn("_low", F.lower(phrase))
+    of = with_terms(docs.where(F.col(text).isNotNull()).withColumn("_text", F.lower(text)), "_text", p.select(F.col("_low").alias("term")), "_found").drop("_text")
+    of = of.withColumn("_hit", F.explode(F.concat(F.col("_found"), F.array(F.lit(""))))).drop("_found")
+    return of.join(p.drop(phrase), F.col("_hit") == F.col("_low")).drop("_hit", "_low")
+
+
 def with_source(docs: DataFrame, sources: DataFrame, how: str = "left") -> DataFrame:
     """docs with their source as a struct."""
     s = sources.select(F.col("id").alias("_id"), F.struct("id", "name", "ward_number", "source_type").alias("source"))

@@ -162,7 +162,7 @@ def newsletter_source_join(spark, d):
 @query("SELECT n.id, n.subject, p.phrase_id FROM n JOIN (SELECT item_id AS phrase_id, text FROM benchmark) p ON contains(lower(n.plain_text), lower(p.text))")
 def phrase_search(spark, d):
     phrases = table(spark, d, "benchmark").select(F.col("item_id").alias("phrase_id"), "text")
-    return b.newsletters(spark, d).join(F.broadcast(phrases), F.contains(F.lower("plain_text"), F.lower("text"))).select("id", "subject", "phrase_id")
+    return search.with_phrases(b.newsletters(spark, d), "plain_text", phrases, "text").select("id", "subject", "phrase_id")
 
 
 # --- weekly reports ----------------------------------------------------------------------------------------------

@@ -1,4 +1,5 @@
 import datetime as dt
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,11 +30,29 @@ def test_rule_fits(spark):
     assert not fits(spark, ([], None, []), (None, "x", None))
 
 
-def test_large_rule_sets_match_alike(spark):
-    docs = spark.createDataFrame([(f"d{i}", [f"t{i % 5}", f"t{i % 3}"], f"text {i} word{i % 7}", str(i % 4)) for i in range(60)], DOC)
-    rules = spark.createDataFrame([(f"r{i}", f"u{i % 6}", [f"t{i % 6}"] * (i % 3), f"word{i % 9}" if i % 2 else None, [str(i % 4)] if i % 5 == 0 else [], True, "daily") for i in range(40)], RULE)
-    rows = lambda df: sorted(tuple(r) for r in df.collect())
-    assert rows(match.match_rules(docs, rules)) == rows(match.match_rules(docs, rules, most_broadcast=0))
+def test_rules_against_brute_force(spark):
+    """With rules of several topics, phrases and wards, nulls among them, and rows that repeat."""
+    docs = [(f"d{i % 50}", [f"t{i % 5}", f"t{i % 3}", None][: i % 4], f"Text {i} Word{i % 7}" if i % 11 else None, str(i % 4) if i % 6 else None) for i in range(60)]
+    rules = [(f"r{i % 38}", f"u{i % 6}", [f"t{i % 6}", f"t{i % 4}", None][: i % 4], [None, "", f"word{i % 9}", "TEXT", "ord"][i % 5], [str(i % 4), "2", None][: i % 3] if i % 5 else None) for i in range(40)]
+    want = Counter((r[1], r[0], d[0]) for d in docs for r in rules if d[2] is not None and (not r[2] or {x for x in r[2] if x} & {x for x in d[1] if x}) and (r[3] or "").lower() in d[2].lower() and (not r[4] or d[3] is not None and d[3] in r[4]))
+    got = match.match_rules(spark.createDataFrame(docs, DOC), spark.createDataFrame([(*r, True, "daily") for r in rules], RULE))
+    assert Counter(tuple(r) for r in got.collect()) == want and len(want) > 50
+
+
+@pytest.mark.parametrize("block", [2, 20_000])
+def test_terms_in_texts(spark, block):
+    texts = [(1, "abcabd"), (2, None), (3, ""), (4, "a\u00e9 bd")]
+    terms = spark.createDataFrame([("ab",), ("abd",), ("b",), ("\u00e9",), ("",), (None,), ("ab",), ("zz",)], "term string")
+    got = {r["id"]: r["found"] for r in search.with_terms(spark.createDataFrame(texts, "id int, text string"), "text", terms, "found", block).collect()}
+    assert got[2] is None and {k: sorted(v) for k, v in got.items() if v is not None} == {1: ["ab", "abd", "b"], 3: [], 4: ["b", "\u00e9"]}
+    assert [r["found"] for r in search.with_terms(spark.createDataFrame(texts[:1], "id int, text string"), "text", terms.limit(0), "found").collect()] == [[]]
+
+
+def test_phrases_in_texts(spark):
+    docs = spark.createDataFrame([(1, "One Two"), (2, None), (3, "two")], "id int, body string")
+    phrases = spark.createDataFrame([("a", "TWO"), ("b", "two"), ("c", ""), ("d", None), ("e", "one t")], "name string, text string")
+    got = sorted((r["id"], r["name"]) for r in search.with_phrases(docs, "body", phrases, "text").collect())
+    assert got == [(1, "a"), (1, "b"), (1, "c"), (1, "e"), (3, "a"), (3, "b"), (3, "c")]
 
 
 def test_users(spark):
