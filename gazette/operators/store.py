@@ -94,9 +94,19 @@ def swapped(df: DataFrame, path: str) -> None:
     df.write.parquet(new)
     place = jvm.org.apache.hadoop.fs.Path
     fs = place(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if fs.exists(place(path)):
-        fs.rename(place(path), place(old))
-    fs.rename(place(new), place(path))
+    there = fs.exists(place(path))
+    if there and not fs.rename(place(path), place(old)):
+        raise OSError(f"{path} can't be set aside")
+    try:
+        done = fs.rename(place(new), place(path))
+    except Exception:
+        done = False
+        raise
+    finally:
+        if not done and there:
+            fs.rename(place(old), place(path))
+    if not done:
+        raise OSError(f"{new} can't take the place of {path}")
     fs.delete(place(old), True)
 
 

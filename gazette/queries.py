@@ -128,10 +128,10 @@ def websearch_stemmed(spark, d):
     return search.search(b.newsletters(spark, d), b.sources(spark, d), query='licensing or "released under"', stem=True).select("id")
 
 
-@query(rf"SELECT t AS term, count(*) AS places, count(DISTINCT id) AS newsletters FROM (SELECT id, unnest(list_filter({_WORDS}, lambda x: x <> '' AND NOT list_contains([{', '.join(map(_q, search.STOP))}], x))) AS t FROM n) GROUP BY t HAVING count(DISTINCT id) >= 5")
+@query(rf"SELECT term, id, string_agg(place::VARCHAR, ',' ORDER BY place) AS places FROM (SELECT id, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS place FROM (SELECT id, list_filter({_WORDS}, lambda x: x <> '') AS w FROM n)) WHERE NOT list_contains([{', '.join(map(_q, search.STOP))}], term) GROUP BY term, id")
 def inverted_index(spark, d):
     inv = search.inverted(b.newsletters(spark, d), "id", F.concat(F.coalesce("subject", F.lit("")), F.lit(" "), F.coalesce("plain_text", F.lit(""))))
-    return inv.groupBy("term").agg(F.sum(F.size("places")).alias("places"), F.count("*").alias("newsletters")).where("newsletters >= 5")
+    return inv.select("term", "id", F.array_join(F.transform("places", lambda p: p.cast("string")), ",").alias("places"))
 
 
 @query("SELECT id, CASE WHEN relevance_score >= 8 THEN 'high' WHEN relevance_score >= 5 THEN 'medium' WHEN relevance_score IS NOT NULL THEN 'low' END AS bucket FROM n")
@@ -388,9 +388,14 @@ def paragraphs(spark, d):
     return table(spark, d, "documents").select("doc_id", text.paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("html"))
 
 
-@query("SELECT conv_id, turn, regexp_extract('Here: ```json' || chr(10) || '{\"n\": ' || turn::VARCHAR || '}' || chr(10) || '``` {}', '\\{[^}]*\\}') AS json FROM conversations", False)
+_ANSWER = """'Here: ```json' || chr(10) || '{"characters": ' || length(coalesce(text, ''))::VARCHAR || ', "role": "' || coalesce(role, '') || '"}' || chr(10) || '```' || chr(10) || coalesce(text, '')"""
+
+
+@query(f"SELECT conv_id, turn, regexp_extract({_ANSWER}, '\\{{[^}}]*\\}}') AS json FROM conversations", False)
 def json_in_answers(spark, d):
-    answer = F.concat(F.lit("Here: ```json\n{\"n\": "), F.col("turn").cast("string"), F.lit("}\n``` {}"))
+    """The JSON before each text of a conversation, whatever the text holds."""
+    told = F.coalesce("text", F.lit(""))
+    answer = F.concat(F.lit('Here: ```json\n{"characters": '), F.length(told).cast("string"), F.lit(', "role": "'), F.coalesce("role", F.lit("")), F.lit('"}\n```\n'), told)
     return table(spark, d, "conversations").select("conv_id", "turn", text.json_in(answer).alias("json"))
 
 
@@ -483,12 +488,16 @@ def chicago_batch_id(spark, d):
     return table(spark, d, "events").select("event_id", dates.queue_batch(ts).alias("queued_in"), dates.daily_batch(ts).alias("daily"), dates.weekly_batch(ts).alias("weekly"))
 
 
-@query("SELECT id FROM u WHERE coalesce((prefs::JSON ->> 'enabled')::BOOLEAN, true)")
+@query("SELECT id, true AS fresh, false AS expired, false AS altered, false AS foreign_key, false AS other FROM u WHERE coalesce((prefs::JSON ->> 'enabled')::BOOLEAN, true)")
 def signed_tokens(spark, d):
-    """Users whose tokens prove to be theirs: all to whom one was given."""
+    """Whether tokens prove to be their users': fresh ones do, those that are too old, altered, signed by others or for others don't."""
+    now = F.lit(1_700_000_000)
     u = b.profiles(spark, d).where(arrays.enabled(F.col("notification_preferences")))
-    made = u.select("id", signed.token_for(F.col("id"), F.lit(1_700_000_000), "secret").alias("token"))
-    return made.where(signed.subject_of(F.col("token"), F.lit(1_700_000_001), "secret") == F.col("id")).select("id")
+    token = lambda t=now, secret="secret", who="id": signed.token_for(F.col(who) if who == "id" else F.lit(who), t, secret)
+    made = u.select("id", token().alias("a"), token(now - 91 * 86400).alias("b"), token(secret="stolen").alias("c"), token(who="nobody").alias("d"))
+    made = made.withColumn("e", F.concat(F.substring_index("d", ".", 2), F.lit("."), F.substring_index("a", ".", -1)))
+    proves = lambda c: F.coalesce(signed.subject_of(F.col(c), now + 1, "secret") == F.col("id"), F.lit(False))
+    return made.select("id", proves("a").alias("fresh"), proves("b").alias("expired"), proves("e").alias("altered"), proves("c").alias("foreign_key"), proves("d").alias("other"))
 
 
 # --- costs -------------------------------------------------------------------------------------------------------

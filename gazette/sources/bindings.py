@@ -15,10 +15,12 @@ TERMS = ["tion", "The", "zzz", "ent "]
 
 
 def newsletters(spark: SparkSession, d: str) -> DataFrame:
-    topics = F.array_compact(F.array(*(F.when(F.contains(F.lower("text"), F.lit(m)), t) for m, t in zip(MARKERS, TOPICS, strict=True))))
+    """The documents; one message in 50 comes twice, under the id of the one before."""
+    # bound to a variable, so that a text is lower-cased once for all topics
+    topics = F.transform(F.array(F.lower("text")), lambda low: F.array_compact(F.array(*(F.when(F.contains(low, F.lit(m)), t) for m, t in zip(MARKERS, TOPICS, strict=True)))))[0]
     return table(spark, d, "documents").select(
         F.col("doc_id").cast("string").alias("id"),
-        F.expr("concat('m', cast(doc_id % 900 as string))").alias("email_uid"),
+        F.expr("concat('m', cast(if(doc_id % 50 = 1, doc_id - 1, doc_id) as string))").alias("email_uid"),
         F.expr("case when doc_id % 37 <> 0 then timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(doc_id % 60 as int), cast(doc_id % 24 as int)) end").alias("received_date"),
         F.expr("substring(text, 1, 30)").alias("subject"),
         F.expr("case when doc_id % 6 = 0 then concat('\"Office ', cast(doc_id % 50 as string), '\" <news@ward', cast(doc_id % 50 as string), '.example.org>') else concat('news@ward', cast(doc_id % 50 as string), '.example.org') end").alias("from_email"),
@@ -62,10 +64,11 @@ def profiles(spark: SparkSession, d: str) -> DataFrame:
 def queue(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     about_one = k % 3 != 0
+    newsletters = table(spark, d, "documents").select(F.max("doc_id") + 1).scalar()
     return table(spark, d, "orders").select(
         k.cast("string").alias("id"),
         (F.col("o_custkey") % 40).cast("string").alias("user_id"),
-        F.when(about_one, (k % 210).cast("string")).alias("newsletter_id"),
+        F.when(about_one, (k % newsletters).cast("string")).alias("newsletter_id"),
         F.when(~about_one, F.concat(F.lit("r"), (k % 50).cast("string"))).alias("report_id"),
         F.col("o_custkey").cast("string").alias("rule_id"),
         F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "F", "sent").otherwise("failed").alias("status"),
@@ -86,7 +89,7 @@ def mappings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prices(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").where("p_partkey <= 60").select(F.element_at(F.array(F.lit("amazon"), F.lit("openai"), F.lit("google")), (F.col("p_partkey") % 3 + 1).cast("int")).alias("provider"), F.concat(F.lit("model-"), F.col("p_partkey").cast("string")).alias("model"), (F.col("p_size") / 10).cast("double").alias("input_cost_per_1m"), (F.col("p_size") / 4).cast("double").alias("output_cost_per_1m"))
+    return table(spark, d, "part").select(F.element_at(F.array(F.lit("amazon"), F.lit("openai"), F.lit("google")), (F.col("p_partkey") % 3 + 1).cast("int")).alias("provider"), F.concat(F.lit("model-"), F.col("p_partkey").cast("string")).alias("model"), F.col("p_size").cast("double").alias("input_cost_per_1m"), (F.col("p_size") * 8).cast("double").alias("output_cost_per_1m"))
 
 
 def _list(values: list[str]) -> str:
@@ -97,7 +100,7 @@ _TOPICS, _TERMS = _list(TOPICS), _list(TERMS)
 
 #: The same views in DuckDB's SQL, as the beginning of a query.
 SQL = f"""
-WITH n AS (SELECT doc_id::VARCHAR AS id, 'm' || (doc_id % 900)::VARCHAR AS email_uid,
+WITH n AS (SELECT doc_id::VARCHAR AS id, 'm' || (CASE WHEN doc_id % 50 = 1 THEN doc_id - 1 ELSE doc_id END)::VARCHAR AS email_uid,
   CASE WHEN doc_id % 37 <> 0 THEN TIMESTAMP '2024-01-01' + to_days((doc_id % 60)::INT) + to_hours((doc_id % 24)::INT) END AS received_date,
   substring(text, 1, 30) AS subject,
   CASE WHEN doc_id % 6 = 0 THEN '"Office ' || (doc_id % 50)::VARCHAR || '" <news@ward' || (doc_id % 50)::VARCHAR || '.example.org>' ELSE 'news@ward' || (doc_id % 50)::VARCHAR || '.example.org' END AS from_email,
@@ -110,10 +113,10 @@ r AS (SELECT c_custkey::VARCHAR AS id, (c_custkey % 40)::VARCHAR AS user_id, 'ru
   CASE WHEN c_custkey % 4 = 0 THEN ({_TERMS})[c_custkey % 3 + 1] WHEN c_custkey % 4 = 1 THEN '' END AS search_term, (c_custkey % 11)::INT AS min_relevance_score,
   CASE WHEN c_custkey % 5 = 0 THEN ['7', '12', '3'] ELSE []::VARCHAR[] END AS ward_numbers, CASE WHEN c_custkey % 2 = 0 THEN 'daily' ELSE 'weekly' END AS delivery_frequency FROM customer),
 u AS (SELECT user_id AS id, CASE WHEN user_id::INT % 7 = 0 THEN '{{"enabled": false}}' WHEN user_id::INT % 11 = 0 THEN '{{"delivery_frequency": "daily"}}' WHEN user_id::INT % 3 <> 0 THEN '{{"enabled": true}}' END AS prefs FROM (SELECT DISTINCT user_id FROM r) WHERE user_id::INT <> 13),
-q AS (SELECT o_orderkey::VARCHAR AS id, (o_custkey % 40)::VARCHAR AS user_id, CASE WHEN o_orderkey % 3 <> 0 THEN (o_orderkey % 210)::VARCHAR END AS newsletter_id, CASE WHEN o_orderkey % 3 = 0 THEN 'r' || (o_orderkey % 50)::VARCHAR END AS report_id,
+q AS (SELECT o_orderkey::VARCHAR AS id, (o_custkey % 40)::VARCHAR AS user_id, CASE WHEN o_orderkey % 3 <> 0 THEN (o_orderkey % (SELECT max(doc_id) + 1 FROM documents))::VARCHAR END AS newsletter_id, CASE WHEN o_orderkey % 3 = 0 THEN 'r' || (o_orderkey % 50)::VARCHAR END AS report_id,
   o_custkey::VARCHAR AS rule_id, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'sent' ELSE 'failed' END AS status, strftime(o_orderdate, '%Y-%m') AS digest_batch_id, CASE WHEN o_orderkey % 3 <> 0 THEN 'daily' ELSE 'weekly' END AS notification_type, o_orderdate::TIMESTAMP AS created_at FROM orders),
 rep AS (SELECT topic || '|' || week_id AS id, topic, week_id, list_sort(list(DISTINCT id)) AS newsletter_ids FROM (SELECT id, strftime(received_date, '%G-W%V') AS week_id, unnest(topics) AS topic FROM n WHERE received_date IS NOT NULL) GROUP BY topic, week_id),
 m AS (SELECT (n_nationkey + 1)::INT AS id, CASE n_nationkey % 4 WHEN 0 THEN '%@ward' || n_nationkey || '.example.org' WHEN 1 THEN '%ward' || n_nationkey || '%' WHEN 2 THEN 'ward' || n_nationkey || '.example' ELSE 'NEWS@%ward' || n_nationkey || '.example.org' END AS email_pattern, (n_nationkey % 20)::INT AS source_id FROM nation),
-p AS (SELECT (['amazon', 'openai', 'google'])[p_partkey % 3 + 1] AS provider, 'model-' || p_partkey::VARCHAR AS model, p_size / 10 AS input_cost_per_1m, p_size / 4 AS output_cost_per_1m FROM part WHERE p_partkey <= 60),
+p AS (SELECT (['amazon', 'openai', 'google'])[p_partkey % 3 + 1] AS provider, 'model-' || p_partkey::VARCHAR AS model, p_size::DOUBLE AS input_cost_per_1m, (p_size * 8)::DOUBLE AS output_cost_per_1m FROM part),
 on_users AS (SELECT id FROM u WHERE coalesce((prefs::JSON ->> 'enabled')::BOOLEAN, true))
 """
