@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -37,9 +38,12 @@ def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset, as in tests."""
+    """The folder all executors share: spark.checkpoint.dir, or in local mode, where that is unset, one of our own, as in tests.
+    On a cluster the setting is needed, as executors don't see each other's local folders."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = os.path.join(tempfile.gettempdir(), f"gazette-{spark.sparkContext.applicationId}")
         spark.conf.set("spark.checkpoint.dir", place)
     return place
@@ -64,6 +68,12 @@ def dropped(df: DataFrame) -> None:
         p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that no DataFrame stands for any more; it does so once the JVM has noticed."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a batch of texts, one after another, and the n + 1 offsets; null counts as empty."""
     texts = texts.cast(pa.large_binary()).fill_null(b"")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 SLOTS, KICKS = 4, 200
+#: Live digests that a task holds at once, about: digests are dealt to so many buckets as this needs.
+HELD = 100_000
 
 
 class CuckooFilter:
@@ -89,13 +91,15 @@ class Index:
             entry[1] = doc if entry[1] is None else entry[1] if doc is None else min(entry[1], doc)
             entry[2] += rows
 
-    def delete(self, digest: int, sha: bytes, rows: int = 1) -> None:
-        """Takes rows away; with its last row a digest is no longer live."""
+    def delete(self, digest: int, sha: bytes, rows: int = 1, least=None) -> None:
+        """Takes rows away, the smallest id of which is `least`; with its last row a digest is no longer live. Once the row of
+        the smallest id is gone, the next one isn't known: the id is then null."""
         digest &= (1 << 64) - 1
         entry = self._find(digest, sha)
         if entry is None:
             return
         entry[2] -= rows
+        entry[1] = None if least is not None and least == entry[1] else entry[1]
         if entry[2] <= 0:
             held = self.content[digest]
             held.remove(entry)
@@ -149,44 +153,57 @@ def _summed(batches):
 
 
 def _merged(batches):
-    index = Index()
+    """One bucket of digests after another, each in an index of its own; rows come sorted by bucket, deletions last."""
+    index, at = Index(), None
     for b in batches:
-        for sign, digest, sha, doc, rows in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for bucket, sign, digest, sha, doc, rows in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if bucket != at:
+                yield from _batches(index)
+                index, at = Index(), bucket
             if sign > 0:
                 index.insert(digest, sha, doc, rows)
             else:
-                index.delete(digest, sha, rows)
-    out = []
-    for r in index.rows():
-        out.append(r)
-        if len(out) == 10_000:
-            yield _batch(out)
-            out = []
-    if out:
-        yield _batch(out)
-
-
-def _dealt(rows: DataFrame) -> DataFrame:
+                index.delete(digest, sha, rows, doc)
+    yield from _batches(index)
+
+
+def _batches(index: Index):
+    rows = list(index.rows())
+    for i in range(0, len(rows), 10_000):
+        yield _batch(rows[i : i + 10_000])
+
+
+def _dealt(rows: DataFrame, entries: int) -> DataFrame:
+    """rows (sign, digest, sha, keep_id, group_size) to the live digests; entries: how many there are about."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "digest").sortWithinPartitions(F.col("sign").desc()).mapInArrow(_merged, KEYS)
+    bucket = F.pmod(F.xxhash64("digest"), F.lit(max(8 * n, -(-entries // HELD))))
+    return rows.select(bucket.alias("bucket"), "sign", "digest", "sha", "keep_id", "group_size").repartition(n, "bucket").sortWithinPartitions("bucket", F.col("sign").desc()).mapInArrow(_merged, KEYS)
 
 
 def build_index(keys: DataFrame) -> DataFrame:
     """The live digests (digest, sha, keep_id, group_size) of rows (doc_id, digest, sha) as digests() makes them."""
     summed = keys.select("doc_id", "digest", "sha").mapInArrow(_summed, KEYS)
-    return _dealt(summed.select(F.lit(1).alias("sign"), "digest", "sha", "keep_id", "group_size"))
+    return _dealt(summed.select(F.lit(1).alias("sign"), "digest", "sha", "keep_id", "group_size"), keys.count())
 
 
-def update_index(index: DataFrame, inserted: DataFrame | None = None, deleted: DataFrame | None = None) -> DataFrame:
+def update_index(index: DataFrame, inserted: DataFrame | None = None, deleted: DataFrame | None = None, live: DataFrame | None = None) -> DataFrame:
     """The index after the rows of inserted came and those of deleted (both as digests() makes them) went.
 
-    keep_id stays the smallest id a live digest has had; a digest without rows is gone, and may come again."""
+    A digest without rows is gone, and may come again. Where the row of keep_id went, the next smallest id is looked up among
+    live, all rows that are there afterwards (as digests() makes them); without live keep_id is null there. Insertions count
+    before deletions."""
     rows = index.select(F.lit(1).alias("sign"), "digest", "sha", "keep_id", "group_size")
     for sign, keys in ((1, inserted), (-1, deleted)):
         if keys is not None:
             summed = keys.select("doc_id", "digest", "sha").mapInArrow(_summed, KEYS)
             rows = rows.union(summed.select(F.lit(sign), "digest", "sha", "keep_id", "group_size"))
-    return _dealt(rows)
+    out = _dealt(rows, index.count() + (inserted.count() if inserted is not None else 0))
+    if live is None:
+        return out
+    out = written(out)
+    lost = out.where("keep_id is null").select(F.col("sha").alias("s"))
+    found = live.join(lost, F.col("sha") == F.col("s"), "left_semi").groupBy(F.col("sha").alias("s")).agg(F.min("doc_id").alias("least"))
+    return out.join(found, F.col("sha") == F.col("s"), "left").select("digest", "sha", F.coalesce("keep_id", "least").alias("keep_id"), "group_size")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:

@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, mixed, remainder, small_batches, words, written
+from .common import buffers, freed, mixed, remainder, small_batches, words, written
 
 #: Tokens that a task sorts at once, and bytes of texts that it hashes at once.
 TOKENS, TOGETHER = 2_000_000, 4 << 20
-#: Has no effect any more, as every word is looked up by a shuffle; tests set it.
-FREQUENT = 1 << 19
+#: Buckets for each shuffle partition, at least: with many small ones, partitions are of like size.
+BUCKETS = 4
 #: Bits of the filter for each entry, at least; probes for each entry.
 BITS_EACH, PROBES = 12, 2
 #: Weight of pairs of words against single words.
@@ -182,33 +182,18 @@ def _mark(there: np.ndarray, order: int, h: np.ndarray, n: np.ndarray) -> None:
             there[at] = True
 
 
-def _segments(bits: int, segment: int):
-    """A bucket's part of the filter: entries (word, 1 .. level) and (pair, 1 .. level)."""
-
-    def run(batches):
-        for b in batches:
-            for order, bucket, h, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                there = np.zeros(segment, bool)
-                _mark(there, order, unplaned(h), unplaned(n))
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(there, bitorder="little").tobytes()], pa.binary())], names=["bucket", "part"])
-
-    return run
-
-
 class Filter:
     """Membership of entries (n-gram, level); an n-gram's level is how many entries, from 1 on, are there."""
 
-    def __init__(self, parts: np.ndarray, bits: int, segment: int):
-        self.parts, self.bits, self.segment = parts, np.uint64(64 - bits), segment
+    def __init__(self, parts: np.ndarray, segment: int):
+        self.parts, self.segment = parts, segment
 
     def levels(self, h: np.ndarray, order: int) -> np.ndarray:
         out = np.zeros(len(h), np.int64)
-        base = (h >> self.bits).astype(np.int64) * self.segment if int(self.bits) < 64 else np.zeros(len(h), np.int64)
         left, j = np.arange(len(h)), 1
         while len(left):
             there = np.ones(len(left), bool)
             for at in _places(h[left] + np.uint64(order), j, self.segment):
-                at += base[left]
                 there &= (self.parts[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
             left = left[there]
             out[left] = j
@@ -225,7 +210,7 @@ def segment_of(counts: dict[int, tuple[np.ndarray, np.ndarray]]) -> Filter:
     there = np.zeros(segment, bool)
     for order, (h, n) in counts.items():
         _mark(there, order, h, n)
-    return Filter(np.packbits(there, bitorder="little"), 0, segment)
+    return Filter(np.packbits(there, bitorder="little"), segment)
 
 
 def log10(of_words: np.ndarray, of_pairs: np.ndarray, which: np.ndarray, end: int, n: int, v: int) -> np.ndarray:
@@ -243,7 +228,7 @@ def train(docs: DataFrame, mod: int = 7, held: int = 2) -> tuple[DataFrame, int,
     spark = docs.sparkSession
     small_batches(spark, 1000)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(4, (n_parts - 1).bit_length())
+    bits = max(4, (BUCKETS * n_parts - 1).bit_length())
     own = docs.where(remainder(F.col("doc_id"), mod) != held).select(F.col("text").cast("string"))
     blobs = own.mapInArrow(_count(bits), BLOBS).repartition(n_parts, "bucket").sortWithinPartitions("bucket", "order")
     summed = written(blobs.mapInArrow(_sum, "order int, bucket int, h binary, n binary, kinds long, total long"))
@@ -364,6 +349,7 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
     falsely true, over any corpus."""
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts, bits, n, v = train(docs, mod, held)
+    freed(docs.sparkSession)
     asked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_asked(bits), ROWS)
     counts = counts.select(F.lit(COUNTS).alias("kind"), F.lit(0).cast("long").alias("k"), "order", "bucket", "h", "n", F.lit(None).cast("binary").alias("docs"))
     both = counts.union(asked).repartition(n_parts, "bucket").sortWithinPartitions("bucket", "kind")

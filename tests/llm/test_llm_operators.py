@@ -330,9 +330,9 @@ def test_without_repeats(spark, corpus):
 # --- 7 -----------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("frequent", [lm.FREQUENT, 20])
-def test_lm(spark, corpus, monkeypatch, frequent):
-    monkeypatch.setattr(lm, "FREQUENT", frequent)
+@pytest.mark.parametrize("tokens", [lm.TOKENS, 500])
+def test_lm(spark, corpus, monkeypatch, tokens):
+    monkeypatch.setattr(lm, "TOKENS", tokens)
     got = rows_of(lm.score(docs_of(spark, corpus)))
     cut = lambda t: [w for w in re.split("[\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if w] + [None]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
@@ -353,17 +353,13 @@ def test_lm_beats_words_alone(spark):
 
 def test_filter_levels():
     """No entry is missed; an entry that isn't there is seldom seen."""
-    import pyarrow as pa
-
     rng = np.random.default_rng(2)
     h = np.sort(rng.integers(0, 1 << 60, 2000).astype(np.uint64))
     n = rng.integers(1, 5000, 2000)
-    segment = 1 << 18
-    part = next(lm._segments(0, segment)([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([0]), pa.array([lm.planes(h)]), pa.array([lm.planes(n)])], names=["order", "bucket", "h", "n"])]))
-    f = lm.Filter(np.frombuffer(part.column(1)[0].as_py(), np.uint8), 0, segment)
+    f = lm.segment_of({1: (h, n)})
     got = f.levels(h, 1)
     assert (got >= lm.word_level(n)).all() and (got == lm.word_level(n)).mean() > 0.9
-    assert (f.levels(rng.integers(1 << 61, 1 << 62, 2000).astype(np.uint64), 1) > 0).mean() < 0.1
+    assert (f.levels(rng.integers(1 << 61, 1 << 62, 2000).astype(np.uint64), 1) > 0).mean() < 0.05
 
 
 def test_filter_grows():
@@ -472,13 +468,19 @@ def test_cuckoo():
     assert index.resized and {(d % (1 << 64), s): [k, n] for d, s, k, n in index.rows()} == real
 
 
-def test_index_over_time(spark):
+@pytest.mark.parametrize("held", [exact.HELD, 1])
+def test_index_over_time(spark, monkeypatch, held):
+    monkeypatch.setattr(exact, "HELD", held)
     keys = lambda rows: exact.digests(docs_of(spark, rows))
-    index = exact.build_index(keys([(1, "a"), (2, "a"), (3, "b")]))
-    index = exact.update_index(index, inserted=keys([(0, "b"), (4, "c")]), deleted=keys([(1, "a"), (9, "never")]))
-    assert sorted((r["keep_id"], r["group_size"]) for r in index.collect()) == [(0, 2), (1, 1), (4, 1)]
-    index = exact.update_index(index, deleted=keys([(2, "a")]))
-    assert sorted((r["keep_id"], r["group_size"]) for r in index.collect()) == [(0, 2), (4, 1)]
+    rows_of_index = lambda index: sorted(((r["keep_id"], r["group_size"]) for r in index.collect()), key=str)
+    index = exact.build_index(keys([(1, "a"), (2, "a"), (3, "b"), (5, "a")]))
+    index = exact.update_index(index, inserted=keys([(0, "b"), (4, "c")]), deleted=keys([(2, "a"), (9, "never")]))
+    assert rows_of_index(index) == [(0, 2), (1, 2), (4, 1)]
+    less = keys([(1, "a")])
+    assert rows_of_index(exact.update_index(index, deleted=less)) == [(0, 2), (4, 1), (None, 1)]
+    index = exact.update_index(index, deleted=less, live=keys([(0, "b"), (3, "b"), (4, "c"), (5, "a")]))
+    assert rows_of_index(index) == [(0, 2), (4, 1), (5, 1)]
+    assert rows_of_index(exact.update_index(index, deleted=keys([(5, "a")]))) == [(0, 2), (4, 1)]
 
 
 # --- 10 ----------------------------------------------------------------------------------------------------------
