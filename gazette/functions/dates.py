@@ -17,6 +17,11 @@ def week_id(date: Column) -> Column:
     return F.when(date.isNotNull(), F.format_string("%d-W%02d", F.extract(F.lit("YEAROFWEEK"), date), F.weekofyear(date)))
 
 
+def is_week_id(text: Column) -> Column:
+    """Whether a text is two whole numbers around -W; null isn't."""
+    return F.coalesce(F.rlike(text, F.lit(WEEK_ID)), F.lit(False))
+
+
 def week_start(week: Column) -> Column:
     """Monday of a week id; week numbers beyond a year's roll over."""
     year, number = F.substring(week, 1, 4).try_cast("int"), F.substring(week, 7, 10).try_cast("int")
@@ -69,4 +74,4 @@ def date_label(text: Column) -> Column:
 def parsed_date(text: Column) -> Column:
     """A timestamp out of a text with a date in one of several forms; null if there is none."""
     found = F.regexp_replace(F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2}[T ]?[\d:]*\S*|\d{1,2}/\d{1,2}/\d{4}|[A-Z][a-z]{2,8}\.? \d{1,2}(?:st|nd|rd|th)?,? \d{4}|\d{1,2} [A-Z][a-z]{2,8} \d{4})", 1), r"(\d)(st|nd|rd|th)\b", "$1")
-    return F.coalesce(*(F.try_to_timestamp(t, F.lit(f)) for t in (F.regexp_replace(F.trim(text), "^[A-Z][a-z]{2}, ", ""), found) for f in FORMATS))
+    return F.coalesce(*(F.try_to_timestamp(t, F.lit(f)) for t in (F.regexp_replace(F.trim(text), "^[A-Z][a-z]{2}, ", ""), F.trim(found)) for f in FORMATS))

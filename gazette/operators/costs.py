@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import MAX_CHARS, RESPONSE_TOKENS
 from ..functions.cost import cost, token_count
 from ..functions.dates import week_id
+from ..functions.prompts import prompt_column
 
 #: Tokens of a prompt besides the document, and of a schema where it is part of the prompt, by operation.
 PROMPT_TOKENS = {"topics": 160, "summary": 140, "relevance_score": 320, "weekly_facts": 220, "weekly_synthesis": 260}
@@ -28,6 +31,17 @@ def document_tokens(docs: DataFrame, schema_in_prompt: bool = False, most: int =
     return own.select("id", "operation", (F.col("n") + _of(PROMPT_TOKENS, F.col("operation")) + extra).cast("long").alias("input_tokens"), _of(RESPONSE_TOKENS, F.col("operation")).cast("long").alias("output_tokens"))
 
 
+def call_tokens(docs: DataFrame, count: Callable[[Column], Column] = token_count, schema_in_prompt: bool = False, most: int = MAX_CHARS) -> DataFrame:
+    """(id, operation, input_tokens, output_tokens) by the whole prompts of each document's calls, counted by count(). docs: id,
+    subject, plain_text, topics, summary; documents without text are left out."""
+    content = F.concat(F.lit("Subject: "), F.coalesce("subject", F.lit("")), F.lit("\n\n"), F.substring("plain_text", 1, most))
+    parts = {"topics": {}, "summary": {}, "relevance_score": {"topics": F.array_join("topics", ", "), "summary": F.col("summary")}}
+    own = docs.where("coalesce(plain_text, '') <> ''").withColumn("content", content)
+    calls = own.select("id", F.explode(F.array(*(F.struct(F.lit(o).alias("operation"), prompt_column(o, content=F.col("content"), **p).alias("prompt")) for o, p in parts.items()))).alias("call")).select("id", "call.*")
+    extra = SCHEMA_TOKENS if schema_in_prompt else 0
+    return calls.select("id", "operation", (count(F.col("prompt")) + extra).cast("long").alias("input_tokens"), _of(RESPONSE_TOKENS, F.col("operation")).cast("long").alias("output_tokens"))
+
+
 def weekly_tokens(docs: DataFrame, most: int = MAX_CHARS) -> DataFrame:
     """(week_id, topic, newsletters, input_tokens, output_tokens): facts of each document, then one synthesis."""
     own = docs.where("received_date is not null and coalesce(plain_text, '') <> ''").select(week_id(F.col("received_date")).alias("week_id"), F.explode(F.array_distinct("topics")).alias("topic"), token_count(F.substring("plain_text", 1, most)).alias("n"))

@@ -26,6 +26,17 @@ def weekly_topics(docs: DataFrame) -> DataFrame:
     return rows.groupBy("week_id", "topic").agg(F.count("*").alias("newsletters"))
 
 
+def weekly_sets(docs: DataFrame) -> DataFrame:
+    """(week_id, topic, id): the documents of each week and topic, as rows, so that no set has to fit one task."""
+    return docs.where("received_date is not null").select(week_id(F.col("received_date")).alias("week_id"), F.explode(F.array_distinct("topics")).alias("topic"), "id").distinct()
+
+
+def rules_by_user(rules: DataFrame) -> DataFrame:
+    """(user_id, rules): the active weekly rules of each user, by id; a user has few, as new ones are refused beyond a limit."""
+    own = rules.where("is_active and delivery_frequency = 'weekly'")
+    return own.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("id", "name", "topics"))).alias("rules"))
+
+
 def per_week(docs: DataFrame) -> DataFrame:
     return docs.where("received_date is not null").groupBy(week_id(F.col("received_date")).alias("week_id")).agg(F.count("*").alias("newsletters"))
 

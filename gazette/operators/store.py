@@ -29,6 +29,11 @@ def newcomers(existing: DataFrame, new: DataFrame, keys: list[str], order: list[
     return first.join(existing.select(*keys).distinct(), keys, "left_anti").select(*new.columns).unionByName(new.where(~clash))
 
 
+def appended(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of new as they come; columns that they lack are null."""
+    return existing.unionByName(new, allowMissingColumns=True)
+
+
 def insert_ignore(existing: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
     return existing.unionByName(newcomers(existing, new, keys, order), allowMissingColumns=True)
 
@@ -130,6 +135,11 @@ def rule_faults(rules: DataFrame) -> DataFrame:
     return rules.select("id", F.explode(F.array_compact(F.array(weekly, long_, kind))).alias("fault"))
 
 
+def without_weekly_wards(rules: DataFrame) -> DataFrame:
+    """Rules as the constraint wants them: weekly ones have no wards."""
+    return update(rules, F.col("delivery_frequency") == "weekly", ward_numbers=F.array().cast("array<string>"))
+
+
 def score_faults(docs: DataFrame) -> DataFrame:
     return docs.where("relevance_score not between 0 and 10").select("id", F.lit("relevance_score").alias("fault"))
 

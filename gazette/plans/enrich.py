@@ -9,10 +9,12 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import MAX_CHARS, TOPICS
+from ..functions.prompts import prompt
+from ..session import settled
 
 ATTEMPTS = 6
 
@@ -89,89 +91,159 @@ class Model:
         self.ask = lambda prompt: object_in(answered(call, prompt, attempts, wait))
 
     def topics(self, content: str) -> list[str]:
-        got = self.ask(f"Which of these topics does the text discuss? {', '.join(TOPICS)}. Answer {{\"topics\": [...]}}.\n\n{content}")
+        got = self.ask(prompt("topics", content=content))
         return [t for t in got["topics"] if t in TOPICS]
 
     def summary(self, content: str) -> str:
-        s = self.ask(f'Summarise the text in two or three sentences. Answer {{"summary": "..."}}.\n\n{content}')["summary"]
+        s = self.ask(prompt("summary", content=content))["summary"]
         if len(s) > 2000:
             raise ValueError("summary is too long")
         return s
 
     def relevance(self, content: str, topics: list[str], summary: str) -> int | None:
-        got = self.ask(f'How relevant is the text, from 0 to 10? Topics: {", ".join(topics)}. Summary: {summary}. Answer {{"score": n, "reasoning": "..."}}.\n\n{content}')
+        got = self.ask(prompt("relevance_score", topics=", ".join(topics), summary=summary, content=content))
         if not 0 <= int(got["score"]) <= 10 or len(got.get("reasoning") or "") > 1000:
             raise ValueError("score out of bounds")
         return int(got["score"])
 
     def facts(self, topic: str, content: str) -> list[str]:
-        return [str(f)[:2000] for f in self.ask(f'What does the text say about {topic}? Answer {{"facts": [...]}}.\n\n{content}')["facts"]]
+        return [str(f)[:2000] for f in self.ask(prompt("weekly_facts", topic=topic, content=content))["facts"]]
 
     def synthesis(self, topic: str, facts: list[str]) -> str:
-        s = self.ask(f'Write a report on {topic} from these facts: {json.dumps(facts)}. Answer {{"report": "..."}}.')["report"]
+        s = self.ask(prompt("weekly_synthesis", topic=topic, facts=json.dumps(facts)))["report"]
         if len(s) > 5000:
             raise ValueError("report is too long")
         return s
 
 
-def _or(f: Callable, default):
+def _tried(step: str, f: Callable, default, failures: list):
+    """What f gives, else default and a note of the failure: one document's failure is no other's."""
     try:
         return f()
-    except Exception:  # noqa: BLE001  one document's failure is no other's
+    except Exception as e:  # noqa: BLE001
+        failures.append({"step": step, "error": f"{type(e).__name__}: {e}"[:1000]})
         return default
 
 
-def enriched(docs: DataFrame, make: Callable[[], Enricher] = Lexicon, most: int = MAX_CHARS) -> DataFrame:
+FAILURES = "failures array<struct<step:string,error:string>>"
+
+
+def enriched(docs: DataFrame, make: Callable[[], Enricher] = Lexicon, most: int = MAX_CHARS, failures: bool = False) -> DataFrame:
     """docs (id, subject, plain_text) with topics, summary and relevance_score, in one pass: the score needs the other two.
 
-    On failure topics are empty, the summary is '' and the score null. Texts are cut to `most` characters first."""
-    schema = "id string, topics array<string>, summary string, relevance_score int"
+    On failure topics are empty, the summary is '' and the score null; with `failures` a column names the steps that failed and
+    why. Texts are cut to `most` characters first."""
+    columns = ["id", "topics", "summary", "relevance_score", "failures"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = make()
         for b in batches:
             rows = []
             for i, subject, text in zip(b["id"], b["subject"], b["plain_text"], strict=True):
-                content = f"Subject: {subject or ''}\n\n{text or ''}"
-                topics = [t for t in _or(lambda c=content: e.topics(c), []) if t in TOPICS]
-                summary = _or(lambda c=content: e.summary(c), "")
-                rows.append((i, topics, summary, _or(lambda c=content, t=topics, s=summary: e.relevance(c, t, s), None)))
-            yield pd.DataFrame(rows, columns=["id", "topics", "summary", "relevance_score"]).astype({"relevance_score": "Int32"})
+                content, bad = f"Subject: {subject or ''}\n\n{text or ''}", []
+                topics = [t for t in _tried("topics", lambda c=content: e.topics(c), [], bad) if t in TOPICS]
+                summary = _tried("summary", lambda c=content: e.summary(c), "", bad)
+                score = _tried("relevance_score", lambda c=content, t=topics, s=summary: e.relevance(c, t, s), None, bad)
+                rows.append((i, topics, summary, score, bad))
+            yield pd.DataFrame(rows, columns=columns).astype({"relevance_score": "Int32"})
+
+    out = docs.select("id", "subject", F.substring("plain_text", 1, most).alias("plain_text")).mapInPandas(run, f"id string, topics array<string>, summary string, relevance_score int, {FAILURES}")
+    return out if failures else out.drop("failures")
 
-    return docs.select("id", "subject", F.substring("plain_text", 1, most).alias("plain_text")).mapInPandas(run, schema)
+
+def dead_letters(rows: DataFrame, now: Column, key: str = "id") -> DataFrame:
+    """(key, step, error, failed_at): a row for each failure in rows with a column `failures`, to be appended to a table of them."""
+    return rows.select(F.col(key).alias("key"), F.inline("failures")).withColumn("failed_at", now)
 
 
 def developments(docs: DataFrame, make: Callable[[], Enricher] = Lexicon, most: int = MAX_CHARS) -> DataFrame:
-    """(topic, id, description, wards) for rows (topic, id, plain_text, ward_number): the facts of each document."""
+    """(topic, id, place, description, wards, failures) for rows (topic, id, plain_text, ward_number): the facts of each document in
+    their order; a document whose facts couldn't be found has one row, without a description."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = make()
         for b in batches:
-            rows = [(t, i, f, [w] if w else []) for t, i, x, w in zip(b["topic"], b["id"], b["plain_text"], b["ward_number"], strict=True) for f in _or(lambda t=t, x=x: e.facts(t, x or ""), [])]
-            yield pd.DataFrame(rows, columns=["topic", "id", "description", "wards"])
+            rows = []
+            for t, i, x, w in zip(b["topic"], b["id"], b["plain_text"], b["ward_number"], strict=True):
+                bad: list = []
+                facts = _tried("weekly_facts", lambda t=t, x=x: e.facts(t, x or ""), [None], bad)
+                rows += [(t, i, k, f, [w] if w else [], bad) for k, f in enumerate(facts)]
+            yield pd.DataFrame(rows, columns=["topic", "id", "place", "description", "wards", "failures"])
 
-    return docs.select("topic", "id", F.substring("plain_text", 1, most).alias("plain_text"), "ward_number").mapInPandas(run, "topic string, id string, description string, wards array<string>")
+    return docs.select("topic", "id", F.substring("plain_text", 1, most).alias("plain_text"), "ward_number").mapInPandas(run, f"topic string, id string, place int, description string, wards array<string>, {FAILURES}")
 
 
-#: Facts that a synthesis reads at most; a report keeps them all.
-READ = 200
+#: Documents whose facts, and texts of such blocks, that one synthesis reads, on average.
+BLOCK = 50
 
 
-def reports(docs: DataFrame, week: str, make: Callable[[], Enricher] = Lexicon) -> DataFrame:
-    """Reports of a week (topic, week_id, report_summary, newsletter_ids, key_developments) on rows (topic, id, plain_text, ward_number).
+def _block(key: Column, n: Column) -> Column:
+    """One of about n / BLOCK blocks, by a digest of the key."""
+    return F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), F.ceil(n / BLOCK).cast("long"))
 
-    A topic without facts or without a synthesis has no report. newsletter_ids are all documents, also those without facts."""
-    facts = developments(docs, make)
-    item = F.struct("id", "description", "wards")
-    per_topic = facts.groupBy("topic").agg(F.array_sort(F.collect_list(item)).alias("f"))
-    ids = docs.groupBy("topic").agg(F.array_sort(F.collect_set("id")).alias("newsletter_ids"))
+
+def synthesised(facts: DataFrame, documents: DataFrame, make: Callable[[], Enricher] = Lexicon) -> DataFrame:
+    """(topic, report_summary, failures) from all facts (topic, id, place, description) of a topic; documents: (topic, n), how many
+    documents a topic has.
+
+    Facts are dealt to blocks of bounded size, each of which is synthesised by itself; the texts of the blocks are the facts of the
+    next round, until a topic has one text. A block without a text fails its topic's report only if no other has one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = make()
         for b in batches:
-            yield pd.DataFrame({"topic": b["topic"], "report_summary": [_or(lambda t=t, f=f: e.synthesis(t, list(f)), "") for t, f in zip(b["topic"], b["facts"], strict=True)]})
+            rows = []
+            for t, k, f, old in zip(b["topic"], b["block"], b["facts"], b["failures"], strict=True):
+                bad, f = list(old), [x for x in f if x]
+                rows.append((t, k, _tried("weekly_synthesis", lambda t=t, f=f: e.synthesis(t, f), "", bad) if f else "", bad))
+            yield pd.DataFrame(rows, columns=["topic", "block", "text", "failures"])
+
+    left = documents.agg(F.max("n")).first()[0] or 0
+    size = documents.select(F.col("topic").alias("_t"), "n")
+    texts = facts.join(size, F.col("topic") == F.col("_t")).withColumn("block", _block(F.col("id"), F.col("n"))).select("topic", "block", "n", F.struct("id", "place", "description").alias("f"), F.array().cast("array<struct<step:string,error:string>>").alias("failures"))
+    while True:
+        item = F.array_sort(F.collect_list("f"))
+        blocks = texts.groupBy("topic", "block").agg(F.first("n").alias("n"), F.transform(item, lambda x: x["description"]).alias("facts"), F.flatten(F.collect_list("failures")).alias("failures"))
+        made = blocks.select("topic", "block", "facts", "failures").mapInPandas(run, f"topic string, block long, text string, {FAILURES}")
+        if left <= BLOCK:
+            return made.select("topic", F.col("text").alias("report_summary"), "failures")
+        left = -(-left // BLOCK)
+        made = made.join(size, F.col("topic") == F.col("_t")).withColumn("n", F.ceil(F.col("n") / BLOCK).cast("long"))
+        size = size.select("_t", F.ceil(F.col("n") / BLOCK).cast("long").alias("n"))
+        name = F.lpad(F.col("block").cast("string"), 19, "0")
+        texts = made.where("coalesce(trim(text), '') <> '' or size(failures) > 0").select("topic", _block(F.col("block").cast("string"), F.col("n")).alias("block"), "n", F.struct(name.alias("id"), F.lit(0).alias("place"), F.col("text").alias("description")).alias("f"), "failures")
+
+
+def report_parts(docs: DataFrame, week: str, make: Callable[[], Enricher] = Lexicon) -> dict[str, DataFrame]:
+    """The reports of a week on rows (topic, id, plain_text, ward_number), each part as rows, so that no topic has to fit one task:
+    reports (topic, week_id, report_summary), developments (topic, id, place, description, wards), newsletters (topic, id),
+    failures (key, step, error, by topic or document).
+
+    A topic without facts or without a synthesis has no report. newsletters are all documents, also those without facts."""
+    found = settled(developments(docs, make))
+    facts = found.where("description is not null")
+    documents = docs.groupBy("topic").agg(F.count("*").alias("n"))
+    texts = settled(synthesised(facts, documents, make))
+    reports_ = texts.where("coalesce(trim(report_summary), '') <> ''").select("topic", F.lit(week).alias("week_id"), "report_summary")
+    with_report = reports_.select("topic")
+    failures = found.where("size(failures) > 0").select(F.concat_ws("|", "topic", "id").alias("key"), F.inline("failures")).union(texts.select(F.col("topic").alias("key"), F.inline("failures")))
+    return {
+        "reports": reports_,
+        "developments": facts.drop("failures").join(with_report, "topic", "left_semi"),
+        "newsletters": docs.select("topic", "id").distinct().join(with_report, "topic", "left_semi"),
+        "failures": failures,
+    }
+
+
+def collected(parts: dict[str, DataFrame]) -> DataFrame:
+    """Reports with all their parts in one row (topic, week_id, report_summary, newsletter_ids, key_developments), for a sink that
+    wants them so."""
+    item = F.array_sort(F.collect_list(F.struct("id", "place", "description", "wards")))
+    developed = parts["developments"].groupBy("topic").agg(F.transform(item, lambda x: F.struct(x["description"].alias("description"), F.array(x["id"]).alias("newsletter_ids"), x["wards"].alias("wards"))).alias("key_developments"))
+    ids = parts["newsletters"].groupBy("topic").agg(F.array_sort(F.collect_list("id")).alias("newsletter_ids"))
+    return parts["reports"].join(ids, "topic").join(developed, "topic").select("topic", "week_id", "report_summary", "newsletter_ids", "key_developments")
 
-    texts = per_topic.select("topic", F.slice(F.transform("f", lambda x: x["description"]), 1, READ).alias("facts")).mapInPandas(run, "topic string, report_summary string")
-    developed = F.transform("f", lambda x: F.struct(x["description"].alias("description"), F.array(x["id"]).alias("newsletter_ids"), x["wards"].alias("wards")))
-    out = texts.where("coalesce(trim(report_summary), '') <> ''").join(per_topic, "topic").join(ids, "topic")
-    return out.select("topic", F.lit(week).alias("week_id"), "report_summary", "newsletter_ids", developed.alias("key_developments"))
+
+def reports(docs: DataFrame, week: str, make: Callable[[], Enricher] = Lexicon) -> DataFrame:
+    """Reports of a week in one row each; see report_parts() and collected()."""
+    return collected(report_parts(docs, week, make))

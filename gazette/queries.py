@@ -9,54 +9,30 @@ from .functions import arrays, cost, dates, html, signed, text
 from .operators import costs, digest, match, reports, search, store
 from .plans import digests as digest_plan
 from .plans import enrich, ingest
+from .registry import ORACLE_SQL, QUERIES, WEEK, query, with_ward
+from .registry import quoted as _q
 from .sources import bindings as b
-from .sources import mail as mail_source
 from .sources.tables import table
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-WEEK = "2024-W05"
-
-
-def query(sql: str | None = None, bound: bool = True):
-    """Registers a query with its SQL; bound: the SQL begins with the views of the domain."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = (b.SQL if bound else "") + sql
-        return f
-
-    return register
-
-
-def _q(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
 _MAP = "CASE t " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in RENAMED_TOPICS.items()) + " ELSE t END"
 _KNOWN = "[" + ", ".join(map(_q, TOPICS)) + "]"
-_FITS = """((len(r.topics) = 0 OR list_has_any(r.topics, n.topics)) AND (coalesce(r.search_term, '') = '' OR contains(lower(n.plain_text), lower(r.search_term)))
+#: Which rules fit a newsletter.
+FITS = """((len(r.topics) = 0 OR list_has_any(r.topics, n.topics)) AND (coalesce(r.search_term, '') = '' OR contains(lower(n.plain_text), lower(r.search_term)))
   AND (len(r.ward_numbers) = 0 OR coalesce(list_contains(r.ward_numbers, s.ward_number), false)))"""
 
 
-def _with_ward(spark, d):
-    s = b.sources(spark, d).select(F.col("id").alias("_s"), "ward_number")
-    return b.newsletters(spark, d).join(F.broadcast(s), F.col("source_id") == F.col("_s"), "left").drop("_s")
-
-
 # --- matching ----------------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT r.user_id, r.id AS rule_id, n.id AS newsletter_id FROM n LEFT JOIN s ON n.source_id = s.id JOIN r ON {_FITS} WHERE n.topics IS NOT NULL AND n.plain_text IS NOT NULL AND r.is_active AND r.delivery_frequency = 'daily' AND r.user_id IN (SELECT id FROM on_users)")
+@query(f"SELECT r.user_id, r.id AS rule_id, n.id AS newsletter_id FROM n LEFT JOIN s ON n.source_id = s.id JOIN r ON {FITS} WHERE n.topics IS NOT NULL AND n.plain_text IS NOT NULL AND r.is_active AND r.delivery_frequency = 'daily' AND r.user_id IN (SELECT id FROM on_users)")
 def rule_match(spark, d):
-    return match.match_daily(_with_ward(spark, d), b.rules(spark, d), b.profiles(spark, d))
+    return match.match_daily(with_ward(spark, d), b.rules(spark, d), b.profiles(spark, d))
 
 
-@query(f"SELECT r.user_id, r.id AS rule_id, n.id AS newsletter_id FROM n LEFT JOIN s ON n.source_id = s.id JOIN r ON {_FITS} AND n.relevance_score >= r.min_relevance_score WHERE n.topics IS NOT NULL AND n.plain_text IS NOT NULL AND r.is_active AND r.delivery_frequency = 'daily' AND r.user_id IN (SELECT id FROM on_users)")
+@query(f"SELECT r.user_id, r.id AS rule_id, n.id AS newsletter_id FROM n LEFT JOIN s ON n.source_id = s.id JOIN r ON {FITS} AND n.relevance_score >= r.min_relevance_score WHERE n.topics IS NOT NULL AND n.plain_text IS NOT NULL AND r.is_active AND r.delivery_frequency = 'daily' AND r.user_id IN (SELECT id FROM on_users)")
 def rule_match_strict(spark, d):
     rules = b.rules(spark, d).withColumn("source_ids", F.lit(None).cast("array<int>"))
-    return match.match_daily(_with_ward(spark, d), rules, b.profiles(spark, d), strict=True)
+    return match.match_daily(with_ward(spark, d), rules, b.profiles(spark, d), strict=True)
 
 
 @query("SELECT r.id, r.user_id FROM r WHERE r.is_active AND r.user_id IN (SELECT id FROM on_users)")
@@ -75,7 +51,7 @@ def email_source_like(spark, d):
     return match.source_of_sender(b.newsletters(spark, d).select("id", "from_email"), b.mappings(spark, d), compat=False).select("id", "source_id")
 
 
-@query(f"""SELECT user_id, rule_id, newsletter_id, 'pending' AS status, '2024-01-29' AS digest_batch_id, 'daily' AS notification_type FROM (SELECT r.user_id, r.id AS rule_id, n.id AS newsletter_id FROM n LEFT JOIN s ON n.source_id = s.id JOIN r ON {_FITS} WHERE n.topics IS NOT NULL AND n.plain_text IS NOT NULL AND r.is_active AND r.delivery_frequency = 'daily' AND r.user_id IN (SELECT id FROM on_users)) x
+@query(f"""SELECT user_id, rule_id, newsletter_id, 'pending' AS status, '2024-01-29' AS digest_batch_id, 'daily' AS notification_type FROM (SELECT r.user_id, r.id AS rule_id, n.id AS newsletter_id FROM n LEFT JOIN s ON n.source_id = s.id JOIN r ON {FITS} WHERE n.topics IS NOT NULL AND n.plain_text IS NOT NULL AND r.is_active AND r.delivery_frequency = 'daily' AND r.user_id IN (SELECT id FROM on_users)) x
   WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.user_id = x.user_id AND q.newsletter_id = x.newsletter_id AND q.rule_id = x.rule_id)""")
 def queue_matches(spark, d):
     new = match.queue_rows(rule_match(spark, d), F.lit("2024-01-30 05:30:00").cast("timestamp"))
@@ -122,9 +98,9 @@ def websearch_tokens(spark, d):
     return search.search(b.newsletters(spark, d), b.sources(spark, d), query='thin -license or release "mit license" or des und').select("id")
 
 
-@query(None)
+@query(rf"SELECT id FROM (SELECT id, {_WORDS} AS w FROM n) WHERE len(list_filter(w, lambda x: regexp_matches(x, '^licens(e|es|ed|ing)?$'))) > 0 OR regexp_matches(' ' || array_to_string(list_filter(w, lambda x: x <> ''), ' ') || ' ', ' releas(e|es|ed|ing)? under ')")
 def websearch_stemmed(spark, d):
-    """Stems have no counterpart in SQL; tests hold them against known ones."""
+    """In the SQL the forms of a word that have its stem are written out."""
     return search.search(b.newsletters(spark, d), b.sources(spark, d), query='licensing or "released under"', stem=True).select("id")
 
 
@@ -216,15 +192,6 @@ def weekly_run_stats(spark, d):
     return reports.weekly_stats(b.rules(spark, d), b.reports(spark, d), b.queue(spark, d), WEEK)
 
 
-@query(None)
-def weekly_reports(spark, d):
-    """Facts and syntheses of the shipped lexicon; tests hold them against plain Python."""
-    own = reports.documents_of_week(b.newsletters(spark, d), WEEK)
-    full = own.join(_with_ward(spark, d).select("id", "plain_text", "ward_number"), "id")
-    words = dict(zip(TOPICS, ([m.strip()] for m in b.MARKERS), strict=True))
-    return enrich.reports(full, WEEK, lambda: enrich.Lexicon(words)).select("topic", "week_id", "report_summary", F.size("newsletter_ids").cast("long").alias("newsletters"), F.size("key_developments").cast("long").alias("developments"))
-
-
 # --- digests -----------------------------------------------------------------------------------------------------
 
 
@@ -430,16 +397,6 @@ def html_to_text(spark, d):
     return table(spark, d, "pages").select("page_id", html.html_to_text(F.col("html")).alias("plain"))
 
 
-@query(None)
-def archive_newsletters(spark, d):
-    """Newsletters linked from archive pages made of the pages' titles; see sanitize_html."""
-    p = table(spark, d, "pages")
-    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    made = F.concat(F.lit('<ul id="archive-list"><li class="campaign">01/24/2026 - <a href="/n/'), F.col("page_id").cast("string"), F.lit('" title="'), title, F.lit('">x</a></li></ul>'))
-    pages = p.select("page_id", F.concat(F.lit("https://campaign-archive.example/"), F.col("page_id").cast("string")).alias("archive_url"), made.alias("made"))
-    return mail_source.archive(pages, F.col("archive_url"), F.col("made")).select("page_id", "url", "title", "date_str", F.date_format(dates.parsed_date(F.col("date_str")), "yyyy-MM-dd").alias("day"))
-
-
 # --- topics and preferences --------------------------------------------------------------------------------------
 
 _OLD = list(RENAMED_TOPICS) + ["gone_topic"]
@@ -545,25 +502,11 @@ def model_encoding(spark, d):
 # --- enrichment and pipelines ------------------------------------------------------------------------------------
 
 
-@query(None)
-def enrich_documents(spark, d):
-    """The shipped lexicon in one pass; tests hold it against plain Python."""
-    words = dict(zip(TOPICS, ([m.strip()] for m in b.MARKERS), strict=True))
-    return enrich.enriched(b.newsletters(spark, d), lambda: enrich.Lexicon(words))
-
-
-@query(None)
-def mail_ingest(spark, d):
-    """Mail made of the documents through the whole pipeline: what would be stored; tests check each step."""
-    docs = b.newsletters(spark, d)
-    mails = docs.select(F.col("email_uid").alias("uid"), F.col("from_email").alias("from_"), "subject", F.col("received_date").cast("timestamp").alias("date"), F.lit(None).cast("string").alias("html"), F.col("plain_text").alias("text"), F.array(F.lit("list@example.org")).alias("to"), F.lit(False).alias("seen"))
-    old = docs.where("source_id >= 18").select("email_uid")
-    out = ingest.ingest_mail(mails, old, b.mappings(spark, d), b.sources(spark, d), b.rules(spark, d), b.profiles(spark, d), F.lit("2024-03-01").cast("timestamp"))
-    return out["new"].select("email_uid", "source_id", "subject", "to_email")
-
-
 @query(None)
 def resanitize(spark, d):
     """Sanitizes pages and texts again; tests check that a second time changes nothing."""
     pages = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("id"), F.col("html").alias("raw_html"), F.col("html").alias("plain_text"))
     return ingest.resanitized(pages).select("id", "modified", F.length("difference").cast("long").alias("difference"))
+
+
+from . import plan_queries  # noqa: E402, F401  registers its own

@@ -4,8 +4,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from gazette.functions import answers, prompts, signed
 from gazette.operators import digest, match, search, store
-from gazette.plans import digests, enrich, ingest
+from gazette.plans import digests, enrich, ingest, unsubscribe, weekly
 from gazette.sources.tables import pricing
 
 DOC = "id string, topics array<string>, plain_text string, ward_number string"
@@ -199,3 +200,82 @@ def test_stream(spark, tmp_path):
     for _ in range(2):
         stream.start(stream.messages(spark, str(land)), str(tmp_path / "check"), lambda df, n: got.extend(r["uid"] for r in df.collect())).awaitTermination(60)
     assert got == ["1"]
+
+
+def test_failures_are_kept(spark):
+    """One document's failure is no other's, and each leaves a row behind."""
+    docs = spark.createDataFrame([("1", "Bike lanes", "New bike lanes. They are wide."), ("2", "x", "boom")], "id string, subject string, plain_text string")
+
+    class Broken(enrich.Lexicon):
+        def summary(self, content):
+            if "boom" in content:
+                raise RuntimeError("no")
+            return super().summary(content)
+
+    rows = enrich.enriched(docs, Broken, failures=True)
+    got = [(r["key"], r["step"], r["error"]) for r in enrich.dead_letters(rows, F.current_timestamp()).collect()]
+    assert got == [("2", "summary", "RuntimeError: no")]
+
+
+def test_synthesis_in_rounds(spark):
+    """Every fact is read, however many there are: blocks first, then the texts of the blocks."""
+
+    class Counting(enrich.Lexicon):
+        def facts(self, topic, content):
+            return [content]
+
+        def synthesis(self, topic, facts):
+            assert len(facts) < 4 * enrich.BLOCK
+            if topic == "c":
+                raise ValueError("never")
+            return str(sum(int(f) for f in facts))
+
+    rows = [("a", f"d{i}", "1", "7") for i in range(300)] + [("b", "d1", "5", None), ("c", "d2", "1", None)]
+    docs = spark.createDataFrame(rows, "topic string, id string, plain_text string, ward_number string")
+    parts = enrich.report_parts(docs, "2024-W05", Counting)
+    assert {r["topic"]: r["report_summary"] for r in parts["reports"].collect()} == {"a": "300", "b": "5"}
+    assert [(r["key"], r["step"]) for r in parts["failures"].collect()] == [("c", "weekly_synthesis")]
+    whole = {r["topic"]: r for r in enrich.collected(parts).collect()}
+    assert len(whole["a"]["newsletter_ids"]) == len(whole["a"]["key_developments"]) == 300 and whole["a"]["key_developments"][0]["wards"] == ["7"]
+
+
+def test_weekly_run(spark):
+    docs = spark.createDataFrame([("1", dt.datetime(2024, 1, 30), ["x", "y"], "About x. And y.", None), ("2", dt.datetime(2024, 1, 30), ["z"], "About z.", None)], "id string, received_date timestamp_ntz, topics array<string>, plain_text string, ward_number string")
+    rules = spark.createDataFrame([("r", "u", ["x", "y", "q"], None, [], True, "weekly")], RULE)
+    old = spark.createDataFrame([("y|2024-W05", "y", "2024-W05", "old")], "id string, topic string, week_id string, report_summary string")
+    words = lambda: enrich.Lexicon({t: [t] for t in "xyzq"})
+    for force, dry, want in ((False, False, {"x": "About x.", "y": "old"}), (True, False, {"x": "About x.", "y": "And y."}), (True, True, {"y": "old"})):
+        out = weekly.run(docs, rules, old, "2024-W05", F.current_timestamp(), words, force, dry)
+        assert {r["topic"]: r["report_summary"] for r in out["reports"].collect()} == want
+        assert tuple(out["stats"].first()) == (2 if force else 1, 1 if force else 2, 0)
+
+
+def test_unsubscribe(spark):
+    now = F.lit(1_700_000_000)
+    users = spark.createDataFrame([("a", None), ("b", '{"enabled": true}'), ("c", "{}")], PROFILE)
+    asked = spark.createDataFrame([("a", "a"), ("b", "c"), ("c", None), ("x", None)], "who string, user_id string").select(signed.token_for(F.col("who"), now, "s").alias("token"), "user_id")
+    after, out = unsubscribe.unsubscribed(users, asked.union(spark.createDataFrame([("junk", None)], "token string, user_id string")), now + 1, "s")
+    assert {r["id"]: r["notification_preferences"] for r in after.collect()} == {"a": unsubscribe.OFF, "b": '{"enabled": true}', "c": unsubscribe.OFF}
+    assert sorted(r["error"] or "" for r in out.collect()) == ["", "", "", "invalid token", "user id mismatch"]
+
+
+def test_typed_answers(spark):
+    told = {"topics": [('{"topics": ["bike_lanes", "odd"]}', (["bike_lanes"], None)), ("{}", (None, "missing")), ("no", (None, "not JSON")), (None, (None, "not JSON"))], "relevance_score": [('{"score": 10}', (10, None)), ('{"score": 11}', (None, "out of bounds")), (f'{{"score": 1, "reasoning": "{"x" * 1001}"}}', (None, "too long")), ('{"score": "many"}', (None, "not JSON"))], "weekly_facts": [('```json\n{"facts": ["a"]}\n```', (["a"], None)), (f'{{"facts": ["{"x" * 2001}"]}}', (None, "too long"))], "weekly_synthesis": [(f'{{"report": "{"x" * 5000}"}}', ("x" * 5000, None))]}
+    for operation, cases in told.items():
+        df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(cases)], "i int, a string")
+        got = [tuple(r["t"]) for r in df.select("i", answers.typed_answer(F.col("a"), operation).alias("t")).orderBy("i").collect()]
+        assert got == [w for _, w in cases], operation
+
+
+def test_swapped(spark, tmp_path):
+    place = str(tmp_path / "t")
+    store.swapped(spark.range(3), place)
+    store.swapped(spark.read.parquet(place).union(spark.range(10, 11)), place)
+    assert sorted(r["id"] for r in spark.read.parquet(place).collect()) == [0, 1, 2, 10] and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["t"]
+
+
+def test_prompts(spark):
+    df = spark.createDataFrame([("a {b}", "t")], "content string, topic string")
+    for o, parts in (("summary", ["content"]), ("weekly_facts", ["topic", "content"])):
+        column = prompts.prompt_column(o, **{p: F.col(p) for p in parts})
+        assert df.select(column.alias("p")).first()["p"] == prompts.prompt(o, **{p: dict(content="a {b}", topic="t")[p] for p in parts})
