@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import os
 import tempfile
@@ -49,6 +50,20 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
+_scratch: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch():
+    """Tables that written() makes within are deleted at the end: what is made from them has to be written elsewhere by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for df in _scratch.pop():
+            dropped(df)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, and survives the loss of any executor."""
     spark = df.sparkSession
@@ -56,9 +71,17 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
+    if _scratch:
+        _scratch[-1].append(out)
     return out
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """df, as read from a path that dropped() may delete."""
+    df._written_at = path
+    return df
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a table that written() made and nothing reads any more."""
     path = getattr(df, "_written_at", None)

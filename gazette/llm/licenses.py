@@ -100,14 +100,36 @@ def known(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
     return rows.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
+def known_files(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    """Licences as whole text files, named by their ids, such as a folder of a distribution's common licences."""
+    rows = spark.read.text(folder, wholetext=True).select("value", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"))
+    return sorted((r["name"], r["value"]) for r in rows.collect())
+
+
+#: Characters of the longest line that is held against one-line notices.
+LINE = 300
+
+
+def notices(text: Column, by_digest: dict[str, str]) -> Column:
+    """The ids of the known texts that are a line of a text by their canonical form, sorted and joined by commas; '' if none is."""
+    lines = F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), "\n"), lambda x: (F.char_length(x) <= LINE) & (x != ""))
+    found = F.array_intersect(F.transform(lines, lambda x: F.sha2(canonical(x), 256)), F.array(*map(F.lit, sorted(by_digest))))
+    names = F.create_map(*(F.lit(x) for kv in sorted(by_digest.items()) for x in kv))
+    return F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda d: names[d]))), ",")
+
+
 def scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None) -> DataFrame:
-    """doc_id, license_id (null: no licence), digest for every row of docs, whose whole text is compared.
+    """doc_id, license_id (null: no licence), digest, notices for every row of docs: the licence that the whole text is, and those
+    of which a line is a one-line notice.
 
     Null counts as empty; a text that is empty once normalised is no licence. Rows that repeat stay. The known licences
-    are a list in code, so broadcasting them is bounded by it; columns besides doc_id and text are ignored."""
+    are a list in code or of the caller's, so broadcasting them is bounded by it; an empty table gives no rows; columns besides
+    doc_id and text are ignored. Lines of over LINE characters are no notices."""
     spark = docs.sparkSession
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(canonical(F.col("text")), 256).alias("digest"))
-    return own.join(F.broadcast(known(spark, KNOWN if texts is None else texts)), "digest", "left").select("doc_id", "license_id", "digest")
+    texts = KNOWN if texts is None else texts
+    short = known(spark, [(k, t) for k, t in texts if "\n" not in t.strip() and len(t) <= LINE]).collect()
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(canonical(F.col("text")), 256).alias("digest"), (notices(F.col("text"), {r["digest"]: r["license_id"] for r in short}) if short else F.lit("")).alias("notices"))
+    return own.join(F.broadcast(known(spark, texts)), "digest", "left").select("doc_id", "license_id", "digest", "notices")
 
 
 def _sql_text(s: str) -> str:
@@ -125,6 +147,10 @@ def _sql_canonical(text: str) -> str:
 SQL = f"""
 WITH known AS (SELECT sha256({_sql_canonical("text")}) AS digest, min(license_id) AS license_id
   FROM (VALUES {", ".join(f"({_sql_text(k)}, {_sql_text(t)})" for k, t in KNOWN)}) AS v(license_id, text) GROUP BY 1),
-own AS (SELECT doc_id, sha256({_sql_canonical("text")}) AS digest FROM documents)
-SELECT doc_id, license_id, digest FROM own LEFT JOIN known USING (digest)
+short AS (SELECT sha256({_sql_canonical("text")}) AS digest, min(license_id) AS license_id
+  FROM (VALUES {", ".join(f"({_sql_text(k)}, {_sql_text(t)})" for k, t in KNOWN if "\n" not in t)}) AS v(license_id, text) GROUP BY 1),
+own AS (SELECT row_number() OVER () AS n, doc_id, text, sha256({_sql_canonical("text")}) AS digest FROM documents),
+line AS (SELECT n, sha256({_sql_canonical("line")}) AS digest FROM (SELECT n, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM own) WHERE length(line) BETWEEN 1 AND {LINE}),
+found AS (SELECT n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices FROM line JOIN short USING (digest) GROUP BY n)
+SELECT doc_id, license_id, digest, coalesce(notices, '') AS notices FROM own LEFT JOIN known USING (digest) LEFT JOIN found USING (n)
 """

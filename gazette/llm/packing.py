@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -17,16 +18,19 @@ from .common import small_batches, written
 WINDOW, OPEN, END = 2048, 16, 1
 #: Entries that a worker's table of tokenised words holds; it is emptied beyond that.
 CACHED = 600_000
-#: Leftover pieces that one task merges.
-MERGED = 100_000
+#: Leftover pieces that one task merges: at most 8 kB of ids each.
+MERGED = 20_000
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 _COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 #: These count as white space for str.split() but not for the tokenizer, whose white space also differs in nothing else.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
-# How the tokenizer of the vocabulary file cuts lower-cased text.
-_CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# How a vocabulary file must normalise and cut texts for words to be tokenised each on its own.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALISED = [("NFC", None), ("Replace", "\\s+"), ("Lowercase", None)]
+_BROKEN_UP = [("Split", _PATTERN), ("ByteLevel", None)]
+_CUT = regex.compile(_PATTERN)
 #: Below this character, lower-casing is a matter of single characters and nothing composes.
 _PLAIN = "\u0250"
 
@@ -43,15 +47,37 @@ def _byte_names() -> dict[str, str]:
     return {chr(c): "".join(names[b] for b in chr(c).encode()) for c in range(0x0400)}
 
 
+def _steps(part: dict | None, inside: str) -> list[tuple]:
+    """(type, pattern) of the steps of a tokenizer's normaliser or pre-tokeniser."""
+    part = part or {}
+    steps = part.get(inside, [part]) if part.get("type") == "Sequence" else [part]
+    return [(x.get("type"), (x.get("pattern") or {}).get("Regex")) for x in steps]
+
+
+def by_words(description: dict) -> bool:
+    """Whether texts of a tokenizer (its file as a dict) can be tokenised word by word: it lower-cases, cuts as _PATTERN does and
+    is a plain byte-level BPE model."""
+    m = description.get("model") or {}
+    plain = m.get("type") == "BPE" and not any(m.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    cuts = _steps(description.get("pre_tokenizer"), "pretokenizers")
+    last = ((description.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[-1]
+    no_prefix = not last.get("add_prefix_space", True) and not last.get("use_regex", True)
+    own = [t for t in description.get("added_tokens") or [] if not t.get("special")]
+    return plain and no_prefix and not own and _steps(description.get("normalizer"), "normalizers") == _NORMALISED and cuts == _BROKEN_UP
+
+
 class Words:
     """text -> uint32 ids as bytes. White space always ends a token, so a word's ids don't depend on what surrounds it:
-    each is tokenised once and then looked up. The tables are emptied when they are full."""
+    each is tokenised once and then looked up. The tables are emptied when they are full. A file that normalises or cuts
+    texts in another way is used on whole texts instead."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            self.apart = by_words(json.load(f))
         self.model = self.tokenizer.model
         self.names = str.maketrans(_byte_names())
         self.words: dict[str, bytes] = {}
@@ -84,7 +110,7 @@ class Words:
             self.words.update(zip(other, self._whole(other), strict=True))
 
     def __call__(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text):
+        if not self.apart or _ODD_SPACE.search(text):
             return self._whole([text])[0]
         parts = text.split()
         new = list({w for w in parts if w not in self.words})
@@ -163,7 +189,8 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, most_open: int = OPEN
 
     Each partition packs its own texts as they come, without a shuffle; the windows still open at its end, at most
     most_open of them, are merged afterwards by fewer and fewer tasks. Null and empty texts are one token, the end. Rows
-    that repeat are packed each on their own. sequence_id is unique, not dense; an empty table gives no rows."""
+    that repeat are packed each on their own. sequence_id is unique, not dense; an empty table gives no rows; columns besides
+    doc_id and text are ignored, whatever their names. path is read by the driver and every executor."""
     from pyspark import TaskContext
 
     spark = docs.sparkSession
@@ -205,5 +232,6 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, most_open: int = OPEN
     if n > MERGED:  # one task never gets more than its share of the leftovers
         again = written(left.repartition(-(-n // MERGED)).mapInArrow(merge(1), PIECE))
         done, left = done.union(again.where("sequence_id is not null")), again.where("sequence_id is null")
-    last = left.coalesce(1).mapInArrow(merge(2), PIECE)  # one window open, so that only the last one has room left
+    # the leftovers alone, at most MERGED pieces, go to one task; one window open, so that only the last one has room left
+    last = left.repartition(1).mapInArrow(merge(2), PIECE)
     return done.union(last).drop("ids")

@@ -11,11 +11,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, mixed, powers, small_batches, written
+from .common import buffers, dropped, freed, mixed, powers, small_batches, written
 
 WIDTH, KGRAM = 400, 32
 #: Bytes of texts that are hashed together; longer texts are taken in overlapping parts.
@@ -341,25 +342,27 @@ def _cut(start, end):
     return start[at], np.append(end[at[1:] - 1], end[-1])
 
 
-def _keeper(rows: pa.RecordBatch, width: int):
-    """(bytes kept, bytes removed, spans) of rows (sha, text, list of runs: first window, one past the last)."""
-    for text, runs in zip(rows.column(1), rows.column(2), strict=True):
-        raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-        r = np.array(runs.as_py(), np.int64).reshape(-1, 2)
-        r = r[np.argsort(r[:, 0], kind="stable")]
-        start, end = _cut(r[:, 0], r[:, 1] + width - 1)
-        kept, at = [], 0
-        for a, b in zip(start.tolist(), end.tolist(), strict=True):
-            kept.append(raw[at:a])
-            at = b
-        kept.append(raw[at:])
-        yield b"".join(kept), int((end - start).sum()), len(start)
+def _kept(raw: bytes, runs, width: int) -> tuple[bytes, int, int]:
+    """(bytes kept, bytes removed, spans) of a text and its runs: first window, one past the last, in turn."""
+    r = np.array(runs, np.int64).reshape(-1, 2)
+    r = r[np.argsort(r[:, 0], kind="stable")]
+    start, end = _cut(r[:, 0], r[:, 1] + width - 1)
+    kept, at = [], 0
+    for a, b in zip(start.tolist(), end.tolist(), strict=True):
+        kept.append(raw[at:a])
+        at = b
+    kept.append(raw[at:])
+    return b"".join(kept), int((end - start).sum()), len(start)
+
+
+def key(text: Column) -> Column:
+    """Half of the SHA-256 of a text's bytes; null counts as empty."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)), 1, 16)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """sha (SHA-256 of the text's bytes) and text of every row; null counts as empty."""
-    t = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.unhex(F.sha2(t, 256)).alias("sha"), t.alias("text"))
+    """sha (key of the text) and text of every row; null counts as empty."""
+    return docs.select(key(F.col("text")).alias("sha"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def repeated_runs(texts: DataFrame, width: int = WIDTH, kgram: int = KGRAM, group: int = GROUP) -> DataFrame:
@@ -373,6 +376,7 @@ def repeated_runs(texts: DataFrame, width: int = WIDTH, kgram: int = KGRAM, grou
     found = texts.where(F.octet_length("text") >= width).mapInArrow(_stretches(width, kgram), "sha binary, starts array<int>, windows int, anchor long, content long")
     # one row for each stretch of each different text, with its places there and how often the text occurs
     found = written(found.groupBy("sha", "starts", "windows", "anchor", "content").agg(F.count("*").alias("times")))
+    freed(spark)
     kinds = written(found.groupBy("anchor", "content").agg(F.sum(F.col("times") * F.size("starts")).alias("times"), F.max("windows").alias("windows"), F.min(F.struct("sha", F.col("starts")[0].alias("start"))).alias("at")))
     groups = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.col("windows") + (width - 1)).alias("size")).where("kinds > 1")
     of_group = groups.select(F.col("anchor").alias("g"), F.ceil(F.col("size") / group).cast("int").alias("chunks"))
@@ -394,23 +398,23 @@ def repeated_runs(texts: DataFrame, width: int = WIDTH, kgram: int = KGRAM, grou
     # every pair of chunks of a large group meets in a group of its own
     own = F.pmod(F.col("content"), F.col("chunks")).cast("int")
     parts = parts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    key = F.when(F.col("chunks") == 1, F.col("anchor")).otherwise(F.xxhash64("anchor", F.least("own", "other"), F.greatest("own", "other")))
-    dealt = parts.select(key.alias("key"), "content", "windows", "chunks", "part").repartition(n_parts, "key").sortWithinPartitions("key", "content")
+    shard = F.when(F.col("chunks") == 1, F.col("anchor")).otherwise(F.xxhash64("anchor", F.least("own", "other"), F.greatest("own", "other")))
+    dealt = parts.select(shard.alias("key"), "content", "windows", "chunks", "part").repartition(n_parts, "key").sortWithinPartitions("key", "content")
     in_shards = written(dealt.mapInArrow(_shards(width), "c long, runs array<int>"))
+    del one_each, parts, dealt
+    dropped(wanted)
+    freed(spark)
     whole = kinds.where("times > 1").select(F.col("content").alias("c"), F.array(F.lit(0), F.col("windows")).alias("runs"))
     parted = in_shards.join(kinds.where("times > 1").select(F.col("content").alias("w")), F.col("c") == F.col("w"), "left_anti")
     # a stretch of a large group comes back from each pair of chunks it was in
     parted = parted.groupBy("c").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     runs = found.join(whole.union(parted), found.content == F.col("c")).select("sha", F.flatten(F.transform("starts", lambda p: F.transform("runs", lambda r: r + p))).alias("runs"))
-    return runs.groupBy("sha").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-
-
-def _removed(docs: DataFrame, width: int, kgram: int, group: int, how, schema: str) -> DataFrame:
-    texts = keyed(docs)
-    runs = written(repeated_runs(texts, width, kgram, group)).select(F.col("sha").alias("s"), "runs")
-    # a text that occurs more than once is worked on once
-    marked = texts.where(F.octet_length("text") >= width).join(runs.hint("shuffle_hash"), F.col("sha") == F.col("s")).groupBy("sha").agg(F.first("text").alias("text"), F.first("runs").alias("runs"))
-    return marked.select("sha", "text", "runs").mapInArrow(how, schema)
+    out = written(runs.groupBy("sha").agg(F.flatten(F.collect_list("runs")).alias("runs")))
+    del runs, parted, whole
+    for t in (found, kinds, in_shards):
+        dropped(t)
+    freed(spark)
+    return out
 
 
 def dedup_report(docs: DataFrame, width: int = WIDTH, kgram: int = KGRAM, group: int = GROUP) -> DataFrame:
@@ -422,15 +426,20 @@ def dedup_report(docs: DataFrame, width: int = WIDTH, kgram: int = KGRAM, group:
 
     def how(batches):
         for b in batches:
-            rows = [(hashlib.sha256(kept).hexdigest(), n, spans) for kept, n, spans in _keeper(b, width)]
+            each = (_kept(t.as_buffer().to_pybytes(), r.as_py(), width) for t, r in zip(b.column(1), b.column(2), strict=True))
+            rows = [(hashlib.sha256(kept).hexdigest(), n, spans) for kept, n, spans in each]
             if rows:
                 digest, n, spans = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())], names=["s", "n_removed", "n_spans", "digest"])
 
-    removed = _removed(docs, width, kgram, group, how, "s binary, n_removed long, n_spans long, digest string")
+    texts = keyed(docs)
+    runs = repeated_runs(texts, width, kgram, group).select(F.col("sha").alias("s"), "runs")
+    # a text that occurs more than once is worked on once
+    marked = texts.where(F.octet_length("text") >= width).join(runs.hint("shuffle_hash"), F.col("sha") == F.col("s")).groupBy("sha").agg(F.first("text").alias("text"), F.first("runs").alias("runs"))
+    removed = marked.select("sha", "text", "runs").mapInArrow(how, "s binary, n_removed long, n_spans long, digest string")
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(t).cast("long").alias("n_bytes"), F.sha2(t, 256).alias("hex"))
-    out = own.join(removed.withColumn("s", F.lower(F.hex("s"))), F.col("hex") == F.col("s"), "left")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(t).cast("long").alias("n_bytes"), F.sha2(t, 256).alias("hex"), key(t).alias("k"))
+    out = own.join(removed, F.col("k") == F.col("s"), "left")
     zero = F.lit(0).cast("long")
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("digest", "hex").alias("kept_sha256"))
 
@@ -440,11 +449,14 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, kgram: int = KGRAM, gro
 
     Texts without repeats, null ones included, stay as they are, and so do all other columns, whatever their names."""
 
-    def how(batches):
-        for b in batches:
-            kept = [k.decode("utf-8", "ignore") for k, _, _ in _keeper(b, width)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string())], names=["_sha", "_kept"])
+    runs = repeated_runs(keyed(docs), width, kgram, group).select(F.col("sha").alias("_sha"), F.col("runs").alias("_runs"))
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, places: pd.Series) -> pd.Series:
+        out = [None if t is None else _kept(t.encode(), r, width)[0].decode("utf-8", "ignore") for t, r in zip(texts, places, strict=True)]
+        return pd.Series(out, dtype=object)
 
-    removed = _removed(docs, width, kgram, group, how, "_sha binary, _kept string").withColumn("_sha", F.lower(F.hex("_sha")))
-    out = docs.join(removed, F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256) == removed["_sha"], "left")
-    return out.select(*(F.coalesce(removed["_kept"], docs["text"].cast("string")).alias("text") if c == "text" else docs[c] for c in docs.columns))
+    own, text = runs["_runs"], docs["text"].cast("string")
+    kept = F.when(own.isNull(), text).otherwise(cut(F.when(own.isNotNull(), F.coalesce(text, F.lit(""))), own))
+    joined = docs.join(runs.hint("shuffle_hash"), key(text) == runs["_sha"], "left")
+    return joined.select(*(kept.alias("text") if c == "text" else docs[c] for c in docs.columns))

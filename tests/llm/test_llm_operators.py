@@ -188,6 +188,21 @@ def test_licenses(spark, same_rows):
     assert sorted(got) == [(1, "MIT"), (2, "MIT"), (3, None), (4, None), (5, None), (6, None), (7, "MIT"), (7, "MIT"), (8, "Zlib")]
 
 
+def test_notices(spark):
+    """Notices that are a line of a text, in any spelling; lines that say more are none."""
+    rows = [(1, "Prose.\nreleased under the MIT LICENCE\nMore."), (2, "x\nLicensed under CC BY-NC 4.0.\n\nReleased under the MIT License.\nReleased under the MIT License."), (3, "Not released under the MIT License."), (4, None), (5, "\n" * 5), (6, "Released under the MIT License. " + "x" * 400)]
+    got = {r["doc_id"]: r["notices"] for r in rows_of(licenses.scan(docs_of(spark, rows)))}
+    assert got == {1: "MIT", 2: "CC-BY-NC-4.0,MIT", 3: "", 4: "", 5: "", 6: ""}
+    assert {r["notices"] for r in rows_of(licenses.scan(docs_of(spark, rows), [("X", "a\nb")]))} == {""}
+
+
+def test_licence_files(spark, tmp_path):
+    (tmp_path / "Own-1.0").write_text("Do as you like.\nBut be kind.\n")
+    texts = licenses.known_files(spark, str(tmp_path))
+    got = {r["doc_id"]: r["license_id"] for r in rows_of(licenses.scan(docs_of(spark, [(1, "do as YOU like -- but be kind"), (2, "Do as you like.")]), texts))}
+    assert got == {1: "Own-1.0", 2: None}
+
+
 # --- 4 -----------------------------------------------------------------------------------------------------------
 
 
@@ -433,6 +448,22 @@ def test_word_ids_are_those_of_whole_texts():
         assert np.frombuffer(f(x), "<u4").tolist() == f.tokenizer.encode(x, add_special_tokens=False).ids
 
 
+def test_other_vocabularies(tmp_path):
+    """A file that normalises in another way is used on whole texts."""
+    import json
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    told = json.load(open(path, encoding="utf-8"))
+    assert packing.by_words(told)
+    told["normalizer"] = {"type": "NFC"}
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(told), encoding="utf-8")
+    f = packing.word_ids(str(other))
+    assert not f.apart
+    for x in ("Some Words, with  Spaces", "É é", ""):
+        assert np.frombuffer(f(x), "<u4").tolist() == f.tokenizer.encode(x, add_special_tokens=False).ids
+
+
 # --- 9 -----------------------------------------------------------------------------------------------------------
 
 
