@@ -4,12 +4,14 @@ Each stage works on all that the one before it kept; between stages the document
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.llm import exact, packing, quality, simhash, suffix
-from gazette.llm.common import dropped, table, written
+from gazette.llm.common import dropped, freed, scratch, shared_dir, stored, table, written
 
 
 #: Bytes of a passage that goes where it repeats. A passage of over 50 words should go: on the check tables, 51 words in a row
@@ -94,8 +96,14 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     before = None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        with scratch():
+            rows = stage(spark, docs, sf_dir)
+            place = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+            rows.write.parquet(place)
+        docs = stored(spark.read.schema(rows.schema).parquet(place), place)
         if before is not None:
             dropped(before)
         before = docs
+        del rows
+        freed(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
