@@ -73,5 +73,5 @@ def date_label(text: Column) -> Column:
 
 def parsed_date(text: Column) -> Column:
     """A timestamp out of a text with a date in one of several forms; null if there is none."""
-    found = F.regexp_replace(F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2}[T ]?[\d:]*\S*|\d{1,2}/\d{1,2}/\d{4}|[A-Z][a-z]{2,8}\.? \d{1,2}(?:st|nd|rd|th)?,? \d{4}|\d{1,2} [A-Z][a-z]{2,8} \d{4})", 1), r"(\d)(st|nd|rd|th)\b", "$1")
+    found = F.regexp_replace(F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2}(?:[T ]\d[\d:]*\S*)?|\d{1,2}/\d{1,2}/\d{4}|[A-Z][a-z]{2,8}\.? \d{1,2}(?:st|nd|rd|th)?,? \d{4}|\d{1,2} [A-Z][a-z]{2,8} \d{4})", 1), r"(\d)(st|nd|rd|th)\b", "$1")
     return F.coalesce(*(F.try_to_timestamp(t, F.lit(f)) for t in (F.regexp_replace(F.trim(text), "^[A-Z][a-z]{2}, ", ""), F.trim(found)) for f in FORMATS))

@@ -31,10 +31,13 @@ def stems(s: pd.Series) -> pd.Series:
     return s.map(lambda ws: [stemmed(w) for w in ws] if ws is not None else None)
 
 
-def inverted(docs: DataFrame, id_: str, text: Column, stem: bool = False) -> DataFrame:
-    """(term, id, places): where each word other than a stop word stands in each document."""
+def inverted(docs: DataFrame, id_: str, text: Column, stem: bool = False, everything: bool = False) -> DataFrame:
+    """(term, id, places): where each word other than a stop word stands in each document; with `everything` stop words too, which
+    phrases need."""
     w = stems(words(text)) if stem else words(text)
-    return docs.select(F.col(id_), F.posexplode(w).alias("place", "term")).where(~F.col("term").isin(STOP)).groupBy("term", id_).agg(F.array_sort(F.collect_list("place")).alias("places"))
+    rows = docs.select(F.col(id_), F.posexplode(w).alias("place", "term"))
+    rows = rows if everything else rows.where(~F.col("term").isin(STOP))
+    return rows.groupBy("term", id_).agg(F.array_sort(F.collect_list("place")).alias("places"))
 
 
 def parsed_query(query: str) -> list[list[tuple[bool, list[str]]]]:
@@ -80,6 +83,41 @@ def _fits(have: Column, query: str, stem: bool) -> Column:
     return out
 
 
+PARSED = "array<struct<alternative:int,condition:int,wanted:boolean,words:array<string>>>"
+
+
+def parsed_queries(queries: DataFrame, stem: bool = False) -> DataFrame:
+    """(query_id, alternative, condition, wanted, words) of queries (query_id, query)."""
+
+    @F.pandas_udf(PARSED)
+    def parsed(s: pd.Series) -> pd.Series:
+        each = lambda q: [{"alternative": a, "condition": c, "wanted": wanted, "words": [stemmed(w) for w in ws] if stem else ws} for a, conditions in enumerate(parsed_query(q)) for c, (wanted, ws) in enumerate(conditions)]
+        return s.map(each, na_action=None)
+
+    return queries.select("query_id", F.inline(parsed(F.col("query"))))
+
+
+def find(index: DataFrame, ids: DataFrame, queries: DataFrame, stem: bool = False) -> DataFrame:
+    """(query_id, id) of the documents that fit each of many queries (query_id, query), by an index of all words (term, id, places):
+    see inverted(). ids (id) are all documents; only queries with nothing but unwanted words have to look at all of them.
+
+    Documents hold a condition if they hold its words, and these in a row; they fit an alternative if they hold all of its wanted
+    conditions and none of the others. Words meet the index by equality, and no text is read."""
+    conditions = parsed_queries(queries, stem)
+    asked = conditions.select("query_id", "alternative", "condition", "wanted", F.size("words").alias("n"), F.posexplode("words").alias("k", "term"))
+    there = asked.join(index, "term").withColumn("starts", F.transform("places", lambda p: p - F.col("k")))
+    key = ["query_id", "alternative", "condition", "wanted", "n", "id"]
+    rows = there.groupBy(*key).agg(F.collect_list("starts").alias("all"))
+    in_a_row = F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(1))), F.col("all")[0], F.array_intersect)
+    held = rows.where((F.size("all") == F.col("n")) & (F.size(in_a_row) > 0)).select("query_id", "alternative", "wanted", "condition", "id")
+    needed = conditions.groupBy("query_id", "alternative").agg(F.count_if("wanted").alias("needed"))
+    fits = held.groupBy("query_id", "alternative", "id").agg(F.count_if("wanted").alias("have"), F.count_if(~F.col("wanted")).alias("bad"))
+    full = fits.join(needed, ["query_id", "alternative"]).where("needed > 0 and have = needed and bad = 0").select("query_id", "id")
+    only_unwanted = needed.where("needed = 0").select("query_id", "alternative").join(ids.select("id"))
+    rest = only_unwanted.join(fits.where("bad > 0"), ["query_id", "alternative", "id"], "left_anti").select("query_id", "id")
+    return full.union(rest).distinct()
+
+
 def _finder(terms):
     @F.pandas_udf(ArrayType(StringType()))
     def found(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

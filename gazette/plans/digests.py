@@ -14,7 +14,8 @@ def run(queue: DataFrame, profiles: DataFrame, contents: DataFrame, now: Column,
 
     contents (content_id): what can be shown. refused (user_id, error): users whom the mail service refused. A user whose
     notifications are off fails without history, one without any content fails with it; both count as skipped. A dry run
-    counts what it would send and changes nothing. Failed rows get no time of sending."""
+    counts what it would send and changes nothing. Failed rows get no time of sending. Rows of users without a profile stay
+    pending; store.missing_profiles() makes the profiles they lack."""
     rows = pending(queue, batch, kind)
     content = F.coalesce("report_id", "newsletter_id")
     there = contents.select(F.col("content_id").alias("_c")).distinct().withColumn("_there", F.lit(True))

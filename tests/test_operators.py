@@ -279,3 +279,14 @@ def test_prompts(spark):
     for o, parts in (("summary", ["content"]), ("weekly_facts", ["topic", "content"])):
         column = prompts.prompt_column(o, **{p: F.col(p) for p in parts})
         assert df.select(column.alias("p")).first()["p"] == prompts.prompt(o, **{p: dict(content="a {b}", topic="t")[p] for p in parts})
+
+
+@pytest.mark.parametrize("stem", [False, True])
+def test_index_finds_what_texts_hold(spark, stem):
+    """Queries by the index against the same queries on the texts."""
+    texts = ["new bike lanes on main street", "Bike lane: the main, street", "street main bikes", "", None, "the the the", "a lane of the lanes"]
+    said = ["bike", "bike lanes", '"main street"', "-bike", "bike -street or lane", '"lane of the lanes"', "the", "", '"the main" bike', "bike-lanes", "-bike -street", "lanes lanes"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    asked = spark.createDataFrame([(str(k), q) for k, q in enumerate(said)], "query_id string, query string")
+    got = {(r["query_id"], r["id"]) for r in search.find(search.inverted(docs, "id", F.col("text"), stem, True), docs, asked, stem).collect()}
+    assert got == {(str(k), r["id"]) for k, q in enumerate(said) for r in docs.where(search.fits_query(F.col("text"), q, stem)).collect()}
