@@ -63,7 +63,7 @@ def counted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def planes(x: np.ndarray, width: int = 8) -> bytes:
-    """The bytes of values of `width` bytes, all first bytes first; sorted or small values compress better so."""
+    """The bytes of values of `width` bytes, all first bytes first; small values compress better so."""
     return np.ascontiguousarray(x.astype(f">u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
 
 
@@ -71,6 +71,15 @@ def unplaned(b: bytes, width: int = 8) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).view(f">u{width}").ravel().astype(np.uint64)
 
 
+def steps(x: np.ndarray) -> bytes:
+    """Sorted values as planes of their differences, which are small and compress well."""
+    return planes(np.diff(x, prepend=np.uint64(0)))
+
+
+def unstepped(b: bytes) -> np.ndarray:
+    return np.cumsum(unplaned(b), dtype=np.uint64)
+
+
 def _by_bucket(h: np.ndarray, bits: int) -> np.ndarray:
     """Where each of 2 ** bits buckets of sorted hashes begins, and the end."""
     edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
@@ -82,10 +91,10 @@ def _blobs(order: int, h: np.ndarray, n: np.ndarray, bits: int) -> pa.RecordBatc
     full = np.flatnonzero(np.diff(at))
     if order == 2:  # counts stand in the 16 bits below
         n = np.minimum(n, 0xFFFF).astype(np.uint64)
-        a = [planes(h[at[k] : at[k + 1]] | n[at[k] : at[k + 1]]) for k in full]
+        a = [steps(h[at[k] : at[k + 1]] | n[at[k] : at[k + 1]]) for k in full]
         c = [b""] * len(full)
     else:
-        a = [planes(h[at[k] : at[k + 1]]) for k in full]
+        a = [steps(h[at[k] : at[k + 1]]) for k in full]
         c = [planes(n[at[k] : at[k + 1]]) for k in full]
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(full), order), pa.int32()), pa.array(full, pa.int32()), pa.array(a, pa.binary()), pa.array(c, pa.binary())], names=["order", "bucket", "h", "n"])
 
@@ -153,7 +162,7 @@ def _sum(batches):
         at = np.flatnonzero(new)
         h, n = h[at], np.add.reduceat(n, at)
         kinds, total = len(h), int(n.sum())
-        yield pa.RecordBatch.from_arrays([pa.array([order], pa.int32()), pa.array([bucket], pa.int32()), pa.array([planes(h)], pa.binary()), pa.array([planes(n)], pa.binary()), pa.array([kinds]), pa.array([total])], names=["order", "bucket", "h", "n", "kinds", "total"])
+        yield pa.RecordBatch.from_arrays([pa.array([order], pa.int32()), pa.array([bucket], pa.int32()), pa.array([steps(h)], pa.binary()), pa.array([planes(n)], pa.binary()), pa.array([kinds]), pa.array([total])], names=["order", "bucket", "h", "n", "kinds", "total"])
 
     for b in batches:
         for order, bucket, h, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -161,7 +170,7 @@ def _sum(batches):
                 if key:
                     yield from out()
                 key, hs, ns = (order, bucket), [], []
-            hs.append(unplaned(h))
+            hs.append(unstepped(h))
             if order == 1:
                 ns.append(unplaned(n))
     if key:
@@ -258,10 +267,10 @@ def _asked(bits: int):
             h = np.concatenate(hs)
             kinds, which = np.unique(h, return_inverse=True)
             docs = np.concatenate(ids).tobytes() + np.concatenate(lens).tobytes() + np.concatenate(null).tobytes()
-            yield _rows([(BLOCK, k, 0, int(mixed(np.array([k], np.uint64))[0] >> np.uint64(64 - bits)), planes(kinds), planes(which, 4), docs)])
+            yield _rows([(BLOCK, k, 0, int(mixed(np.array([k], np.uint64))[0] >> np.uint64(64 - bits)), steps(kinds), planes(which, 4), docs)])
             for order, x in ((1, kinds), (2, np.unique(pair(np.append(END, h[:-1]), h)))):
                 at = _by_bucket(x, bits)
-                yield _rows([(ASKED, k, order, int(i), planes(x[at[i] : at[i + 1]]), None, None) for i in np.flatnonzero(np.diff(at))])
+                yield _rows([(ASKED, k, order, int(i), steps(x[at[i] : at[i + 1]]), None, None) for i in np.flatnonzero(np.diff(at))])
 
         for b in batches:
             for first, data, offsets in _runs(b.column(1)):
@@ -292,11 +301,11 @@ def _answered(batches):
             if at != bucket:
                 at, counts, segment = bucket, {}, None
             if kind == COUNTS:
-                counts[order] = unplaned(h), unplaned(n).astype(np.int64)
+                counts[order] = unstepped(h), unplaned(n).astype(np.int64)
                 continue
             if kind == ASKED:
                 segment = segment or segment_of(counts)
-                seen, n = unplaned(h), None
+                seen, n = unstepped(h), None
                 h = segment.levels(seen, order).astype(np.uint8).tobytes()
                 if order == 1:
                     there, c = counts.get(1, (seen[:0], np.zeros(0, np.int64)))
@@ -315,7 +324,7 @@ def _scored(n: int, v: int):
     """Scores of a block's texts; rows come sorted by block, the answers first, by order and bucket."""
 
     def out(answers, block):
-        kinds, which = unplaned(block[0]), unplaned(block[1], 4).astype(np.int64)
+        kinds, which = unstepped(block[0]), unplaned(block[1], 4).astype(np.int64)
         d = len(block[2]) // 17
         ids, lens, null = np.frombuffer(block[2], np.int64, d), np.frombuffer(block[2], np.int64, d, 8 * d), np.frombuffer(block[2], bool, d, 16 * d)
         h = kinds[which]
