@@ -7,6 +7,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,12 +27,22 @@ def _unused(name: str, docs: DataFrame) -> str:
     return name
 
 
+def _numbered(docs: DataFrame, row: str) -> DataFrame:
+    """docs with a number for each row, the same whenever it is computed: rows of files always come in the same partitions and
+    order; rows that come otherwise are written to files first."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:  # only rows of files have an index there
+        docs = written(docs)
+    return docs.withColumn(row, F.monotonically_increasing_id())
+
+
 def _one_each(docs: DataFrame, groups) -> DataFrame:
     """One row of docs for each group: that of the smallest doc_id, null last, and of the smallest number among its rows.
 
     groups: of rows (doc_id, text), where doc_id is the number of a row, the group (number of the row, group) of each."""
     row = _unused("row", docs)
-    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    numbered = _numbered(docs, row)
     of = groups(numbered.select(F.col(row).alias("doc_id"), "text")).toDF("n", "of")
     of = of.join(numbered.select(F.col(row).alias("k"), "doc_id"), F.col("n") == F.col("k"))
     kept = of.groupBy("of").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")).alias("first")).select(F.col("first.n").alias(_unused("kept", numbered)))
