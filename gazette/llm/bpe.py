@@ -79,7 +79,9 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 def round_trip(docs: DataFrame, path: str, pattern: str, size: int = 1 << 15) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, encoded and decoded again where it lies.
 
-    Null counts as the empty text: 0 tokens and the digests of nothing. One row for each row of docs, repeated or not."""
+    Null counts as the empty text: 0 tokens and the digests of nothing. One row for each row of docs, repeated or not. Texts of
+    any length are encoded whole, in pieces that no match of the pattern spans. An empty table gives no rows; columns besides
+    doc_id and text are ignored, whatever their names."""
     small_batches(docs.sparkSession)
 
     def run(batches):

@@ -355,7 +355,8 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
 
     Null counts as empty: one token, the end. Rows that repeat count each. Without training rows every word is unknown
     and N and V are 0. The filter has 12 bits for each entry at least, however many there are: one answer in 40 at most is
-    falsely true, over any corpus."""
+    falsely true, over any corpus. Texts of any length are read whole; a null id counts as the empty text for held_out. An empty
+    table gives no rows; columns besides doc_id and text are ignored, whatever their names."""
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts, bits, n, v = train(docs, mod, held)
     freed(docs.sparkSession)

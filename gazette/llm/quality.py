@@ -191,6 +191,10 @@ def with_score(docs: DataFrame, machine: Machine, name: str = "score") -> DataFr
 
 
 def score(docs: DataFrame, machine: Machine, mod: int = 5, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs; rows that repeat are scored alike."""
+    """doc_id, held_out, score, predicted for every row of docs; rows that repeat are scored alike.
+
+    Null and empty texts have the score of a text without words; texts of any length are read whole. A null id counts as the
+    empty text for held_out. An empty table gives no rows; columns besides doc_id, text and n_chars are ignored, whatever their
+    names."""
     rows = with_score(docs.select(*_columns(docs)), machine)
     return rows.select("doc_id", (remainder(F.col("doc_id"), mod) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

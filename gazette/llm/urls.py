@@ -64,7 +64,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, bl
 
     Without a fitting rule, a host is blocked if its distrust is at least `blame` of distrust, trust and its pages that no
     rule judged together. Null urls and urls without :// have an empty host, which is never part of the graph and allowed.
-    Null html has no links. Rows that repeat are judged alike and count each; an empty table gives no rows."""
+    Null html has no links; html and urls of any length are read whole. Rows that repeat are judged alike and count each; an
+    empty table gives no rows; columns besides page_id, url and html are ignored, whatever their names."""
     rules = RULES if rules is None else rules
     judged = judged_by_rules(pages, rules)
     facts = judged.where("host <> ''").select("host", "said", F.regexp_extract_all("html", F.lit(LINK), F.lit(1)).alias("links"))
