@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, exact, licenses, lm, quality, simhash, suffix, urls
+from . import divergence, embeddings, exact, licenses, lm, negatives, quality, simhash, suffix, urls
 from .bpe import round_trip
 from .common import table
 from .packing import pack
@@ -53,6 +53,14 @@ def op10_url_filter(spark, sf_dir):
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_quality": op2_quality,
@@ -64,6 +72,8 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_source_divergence": op11_source_divergence,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses.SQL, "op9_exact_dedup": exact.SQL, "op10_url_filter": urls.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses.SQL, "op9_exact_dedup": exact.SQL, "op10_url_filter": urls.SQL, "op11_source_divergence": divergence.SQL, "op13_hard_negatives": negatives.SQL}
