@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import divergence, embeddings, exact, licenses, lm, negatives, quality, simhash, suffix, urls
+from . import divergence, embeddings, exact, licenses, lm, negatives, pii, quality, simhash, suffix, urls
 from .bpe import round_trip
 from .common import table
 from .packing import pack
@@ -57,6 +57,10 @@ def op11_source_divergence(spark, sf_dir):
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_pii(spark, sf_dir):
+    return pii.find_identifiers(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark, sf_dir):
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
 
@@ -73,6 +77,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
     "op11_source_divergence": op11_source_divergence,
+    "op12_pii": op12_pii,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
