@@ -188,23 +188,39 @@ def _scan(batches):
         row += b.num_rows
 
 
+def _grams(b: pa.RecordBatch) -> np.ndarray:
+    """One and two words in a row, as hashes, of all texts of a batch."""
+    _, _, doc, h = words(*buffers(b.column(0)))
+    return np.concatenate([h, _two(h[:-1], h[1:])[doc[:-1] == doc[1:]]]).astype(np.int64) if len(h) else np.zeros(0, np.int64)
+
+
+def _given(gram: np.ndarray, total: np.ndarray):
+    for i in range(0, len(gram), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(gram[i : i + 50_000]), pa.array(total[i : i + 50_000])], names=["gram", "total"])
+
+
+def _all_counted(batches):
+    """Counts of all words and pairs of words, batch by batch."""
+    for b in batches:
+        own = np.sort(_grams(b))
+        if len(own):
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            yield from _given(own[first], np.diff(np.append(first, len(own))))
+
+
 def _counter(wanted):
-    """Counts one and two words in a row; wanted, if given, is a broadcast sorted array of those that count."""
+    """Counts those of wanted, a broadcast sorted array, that a task meets; a row for each at its end."""
 
     def run(batches):
+        known = wanted.value
+        total = np.zeros(len(known), np.int64)
         for b in batches:
-            _, _, doc, h = words(*buffers(b.column(0)))
-            if not len(h):
-                continue
-            both = np.concatenate([h, _two(h[:-1], h[1:])[doc[:-1] == doc[1:]]]).astype(np.int64)
-            if wanted is not None:
-                known = wanted.value
-                at = np.searchsorted(known, both)
-                both = both[known[np.minimum(at, len(known) - 1)] == both] if len(known) else both[:0]
-            both.sort()
-            if len(both):
-                first = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
-                yield pa.RecordBatch.from_arrays([pa.array(both[first]), pa.array(np.diff(np.append(first, len(both))))], names=["gram", "total"])
+            if len(known):
+                own = _grams(b)
+                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                total += np.bincount(at[known[at] == own], minlength=len(known))
+        met = np.flatnonzero(total)
+        yield from _given(known[met], total[met])
 
     return run
 
@@ -215,7 +231,7 @@ def _totals(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     if wanted.count() <= FILTERED:
         known = spark.sparkContext.broadcast(np.sort(wanted.toPandas()["gram"].to_numpy(np.int64)))
         return texts.mapInArrow(_counter(known), "gram long, total long").groupBy("gram").agg(F.sum("total").alias("total"))
-    every = texts.mapInArrow(_counter(None), "gram long, total long").groupBy("gram").agg(F.sum("total").alias("total"))
+    every = texts.mapInArrow(_all_counted, "gram long, total long").groupBy("gram").agg(F.sum("total").alias("total"))
     return every.join(wanted, "gram", "left_semi")
 
 
