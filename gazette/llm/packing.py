@@ -69,15 +69,17 @@ def by_words(description: dict) -> bool:
 class Words:
     """text -> uint32 ids as bytes. White space always ends a token, so a word's ids don't depend on what surrounds it:
     each is tokenised once and then looked up. The tables are emptied when they are full. A file that normalises or cuts
-    texts in another way is used on whole texts instead."""
+    texts in another way is used on whole texts instead, and so are texts that hold the text of an added token, which is one id."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            self.apart = by_words(json.load(f))
+            description = json.load(f)
+        self.apart = by_words(description)
+        added = [t["content"] for t in description.get("added_tokens") or []]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)
         self.model = self.tokenizer.model
         self.names = str.maketrans(_byte_names())
         self.words: dict[str, bytes] = {}
@@ -110,7 +112,7 @@ class Words:
             self.words.update(zip(other, self._whole(other), strict=True))
 
     def __call__(self, text: str) -> bytes:
-        if not self.apart or _ODD_SPACE.search(text):
+        if not self.apart or _ODD_SPACE.search(text) or self.added.search(text):
             return self._whole([text])[0]
         parts = text.split()
         new = list({w for w in parts if w not in self.words})
@@ -188,7 +190,8 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, most_open: int = OPEN
     """One row for each piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each partition packs its own texts as they come, without a shuffle; the windows still open at its end, at most
-    most_open of them, are merged afterwards by fewer and fewer tasks. Null and empty texts are one token, the end. Rows
+    most_open of them, are merged afterwards by fewer and fewer tasks, from the second round on with one open window each, down
+    to one. Null and empty texts are one token, the end. Rows
     that repeat are packed each on their own. sequence_id is unique, not dense; an empty table gives no rows; columns besides
     doc_id and text are ignored, whatever their names. path is read by the driver and every executor."""
     from pyspark import TaskContext
@@ -210,28 +213,26 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, most_open: int = OPEN
         if left := w.leftovers():
             yield _batch(left)
 
-    def merge(level: int):
+    def merge(level: int, last: bool):
         def merged(batches):
-            w = Windows(window, most_open if level == 1 else 1, (level << 56) + (TaskContext.get().partitionId() << 32))
+            w = Windows(window, most_open if level == 1 and not last else 1, (level << 56) + (TaskContext.get().partitionId() << 32))
             for b in batches:
                 for r in sorted(b.to_pylist(), key=lambda r: (-r["length"], r["doc_id"] or 0, r["start"])):
                     w.add(r["doc_id"], r["start"], r["doc_tokens"], r["ids"])
-            if level == 1:
-                rows = w.done + w.leftovers()
-            else:
+            if last:
                 w.flush()
-                rows = w.done
-            if rows:
+            if rows := w.done + w.leftovers():
                 yield _batch(rows)
 
         return merged
 
     packed = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECE))
     done, left = packed.where("sequence_id is not null"), packed.where("sequence_id is null")
-    n = left.count()
-    if n > MERGED:  # one task never gets more than its share of the leftovers
-        again = written(left.repartition(-(-n // MERGED)).mapInArrow(merge(1), PIECE))
+    tasks, level = -(-left.count() // MERGED), 1
+    while tasks > 1:  # each has MERGED pieces at most, or what two tasks before it left in their open windows
+        again = written(left.repartition(tasks).mapInArrow(merge(level, False), PIECE))
         done, left = done.union(again.where("sequence_id is not null")), again.where("sequence_id is null")
-    # the leftovers alone, at most MERGED pieces, go to one task; one window open, so that only the last one has room left
-    last = left.repartition(1).mapInArrow(merge(2), PIECE)
+        tasks, level = min(-(-left.count() // MERGED), tasks // 2), level + 1
+    # one window open, so that only the last one has room left
+    last = left.repartition(1).mapInArrow(merge(level, True), PIECE)
     return done.union(last).drop("ids")

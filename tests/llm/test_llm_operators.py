@@ -411,8 +411,8 @@ def test_packing(spark, corpus, monkeypatch):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    texts = [(n, x) for n, (_, x) in enumerate(corpus)]
+    special = ["hello <|startoftext|> x", "<|endoftext|>", "a<|ENDOFTEXT|>b", "<|endoftext", "é <|startoftext|><|endoftext|>\x1cü"]
+    texts = [(n, x) for n, (_, x) in enumerate(corpus + [(None, x) for x in special])]
     ids = {n: t.encode(x or "", add_special_tokens=False).ids + [1] for n, x in texts}
     for most in (packing.MERGED, 10):
         monkeypatch.setattr(packing, "MERGED", most)
@@ -439,13 +439,33 @@ def test_packing(spark, corpus, monkeypatch):
         assert max(used) <= 2048 and sum(u < 2048 for u in used) <= 1 + 3 * (most == 10)
 
 
+def test_leftovers_of_many_levels(spark, monkeypatch):
+    """Leftovers shrink from level to level, and what one task merges stays under the limit."""
+    rng = random.Random(6)
+    texts = [(n, prose(rng, rng.randrange(1, 40))) for n in range(4000)]
+    monkeypatch.setattr(packing, "MERGED", 150)
+    docs = docs_of(spark, texts).repartition(40)
+    got = rows_of(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 64, 3))
+    totals = {r["doc_id"]: r["doc_tokens"] for r in got}
+    used, length = Counter(), Counter()
+    for r in got:
+        used[r["sequence_id"]] += r["length"]
+        length[r["doc_id"]] += r["length"]
+    assert length == totals and len(totals) == 4000 and max(used.values()) <= 64
+    assert sum(u < 64 for u in used.values()) <= 1 and {k >> 56 for k in used} > {0, 1}
+
+
 def test_word_ids_are_those_of_whole_texts():
+    from tokenizers import Tokenizer
+
     f = packing.word_ids(public_tokenizers.path("word_bpe_49k.json"))
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert np.frombuffer(f("hello <|startoftext|> x"), "<u4").tolist() == [3306, 49406, 343]
     rng = random.Random(3)
-    letters = [chr(c) for c in range(0x180)] + [chr(c) for c in (0x130, 0x301, 0x3A3, 0x2028, 0x3000, 0x1C, 0x4E2D, 0x1F600, 0x200B, 0xFEFF, 0x212B)] + list("'s're'll  <|endoftext|>")
+    letters = [chr(c) for c in range(0x180)] + [chr(c) for c in (0x130, 0x301, 0x3A3, 0x2028, 0x3000, 0x1C, 0x4E2D, 0x1F600, 0x200B, 0xFEFF, 0x212B)] + list("'s're'll  ") + ["<|endoftext|>", "<|StartOfText|>"]
     for _ in range(2000):
         x = "".join(rng.choices(letters, k=rng.randrange(25)))
-        assert np.frombuffer(f(x), "<u4").tolist() == f.tokenizer.encode(x, add_special_tokens=False).ids
+        assert np.frombuffer(f(x), "<u4").tolist() == whole.encode(x, add_special_tokens=False).ids
 
 
 def test_other_vocabularies(tmp_path):
