@@ -20,6 +20,10 @@ from gazette.llm.common import dropped, freed, scratch, shared_dir, stored, tabl
 PASSAGE = 240
 
 
+#: Files whose names every task gets; where there are more, rows meet the names of their files by a shuffle.
+NAMED = 100_000
+
+
 def _unused(name: str, docs: DataFrame) -> str:
     """A column name that docs doesn't have."""
     while name.lower() in (c.lower() for c in docs.columns):
@@ -27,22 +31,43 @@ def _unused(name: str, docs: DataFrame) -> str:
     return name
 
 
-def _numbered(docs: DataFrame, row: str) -> DataFrame:
-    """docs with a number for each row, the same whenever it is computed: rows of files always come in the same partitions and
-    order; rows that come otherwise are written to files first."""
+def _numbered(docs: DataFrame, row: str, files: DataFrame) -> DataFrame:
+    """docs with a number for each row: the number of its file in `files`, shifted left by 40 bits, and the row's place there.
+
+    It depends on nothing but the file, so it is the same in every action, however files are cut into partitions and whichever
+    executors there are."""
+    place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    path, at = _unused("path", docs), _unused("at", docs)
+    known = files.withColumnsRenamed({"path": _unused("of_path", docs), "n": _unused("of", docs)})
+    named = docs.select("*", place[0].alias(path), place[1].alias(at))
+    out = named.join(F.broadcast(known) if files.few else known, named[path] == known[known.columns[0]])
+    return out.withColumn(row, F.shiftleft(known.columns[1], 40) + F.col(at)).drop(path, at, *known.columns)
+
+
+def _files(docs: DataFrame) -> DataFrame:
+    """(path, n) of the files that docs is read from, whose names the driver has listed anyway; few: whether they are NAMED at most."""
+    paths = docs.select(F.col("_metadata.file_path").alias("path")).distinct()
+    rows = [(r["path"], k) for k, r in enumerate(paths.orderBy("path").toLocalIterator())]
+    files = docs.sparkSession.createDataFrame(rows, "path string, n long")
+    files.few = len(rows) <= NAMED
+    return files
+
+
+def _of_files(docs: DataFrame) -> DataFrame:
+    """docs as rows of files, which have a place there; rows that come otherwise are written to files first."""
     try:
         docs.select("_metadata.row_index")
-    except AnalysisException:  # only rows of files have an index there
-        docs = written(docs)
-    return docs.withColumn(row, F.monotonically_increasing_id())
+    except AnalysisException:
+        return written(docs)
+    return docs
 
 
 def _one_each(docs: DataFrame, groups) -> DataFrame:
     """One row of docs for each group: that of the smallest doc_id, null last, and of the smallest number among its rows.
 
     groups: of rows (doc_id, text), where doc_id is the number of a row, the group (number of the row, group) of each."""
-    row = _unused("row", docs)
-    numbered = _numbered(docs, row)
+    row, docs = _unused("row", docs), _of_files(docs)
+    numbered = _numbered(docs, row, _files(docs))
     of = groups(numbered.select(F.col(row).alias("doc_id"), "text")).toDF("n", "of")
     of = of.join(numbered.select(F.col(row).alias("k"), "doc_id"), F.col("n") == F.col("k"))
     kept = of.groupBy("of").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")).alias("first")).select(F.col("first.n").alias(_unused("kept", numbered)))
