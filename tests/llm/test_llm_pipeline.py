@@ -111,5 +111,29 @@ def test_run_repeated(spark, tmp_path):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     docs.union(docs).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{d}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
-    total = lambda at: sum(r["length"] for r in c.run(spark, at).collect())
-    assert total(str(tmp_path)) > 0.9 * total(d)
+    pieces = lambda at: sorted((r["doc_id"], r["doc_tokens"]) for r in c.run(spark, at).select("doc_id", "doc_tokens").distinct().collect())
+    twice, once = pieces(str(tmp_path)), pieces(d)
+    assert {i for i, _ in twice} <= {r["doc_id"] for r in docs.collect()} and abs(len(twice) - len(once)) <= 0.1 * len(once)
+    kept = c.drop_near_copies(spark, c.drop_copies(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), d), d)
+    assert sorted(kept.collect()) == sorted(c.drop_near_copies(spark, c.drop_copies(spark, docs, d), d).collect())
+
+
+def test_numbers_of_rows_stay(spark, tmp_path):
+    """Each row keeps its number, however its files are cut between two actions."""
+    docs_of(spark, [(i, f"text {i} " * 20) for i in range(6000)]).repartition(5).write.option("parquet.block.size", 20_000).parquet(f"{tmp_path}/t")
+    docs = c._of_files(spark.read.parquet(f"{tmp_path}/t"))
+    names = "spark.sql.files.maxPartitionBytes", "spark.sql.leafNodeDefaultParallelism", "spark.sql.files.openCostInBytes"
+    before, found = {n: spark.conf.get(n, None) for n in names}, []
+    try:
+        for few in (True, False):
+            files = c._files(docs)
+            files.few = few
+            numbered = c._numbered(docs, "number", files)
+            for values in (("128m", "1", "4m"), ("20k", "16", "1k"), ("200k", "4", "1k")):
+                for n, v in zip(names, values, strict=True):
+                    spark.conf.set(n, v)
+                found.append({r["doc_id"]: r["number"] for r in numbered.select("doc_id", "number").collect()})
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+    assert len(set(found[0].values())) == 6000 and all(f == found[0] for f in found)
