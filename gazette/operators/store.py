@@ -20,13 +20,20 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
 
 
 def newcomers(existing: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
-    """Rows of new whose key is neither in existing nor earlier in new. Keys with a null never clash, as in SQL."""
+    """Rows of new whose key is neither in existing nor earlier in new. Keys with a null never clash, as in SQL.
+
+    Earlier: by order, and of equal ones the smallest by the other columns, as far as these have an order; without order any one
+    of the rows of a key stays. Rows of a key are reduced in each task before they meet."""
     clash = F.lit(True)
     for k in keys:
         clash &= F.col(k).isNotNull()
-    w = Window.partitionBy(*keys).orderBy(*(order or keys))
-    first = new.where(clash).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    return first.join(existing.select(*keys).distinct(), keys, "left_anti").select(*new.columns).unionByName(new.where(~clash))
+    own = new.where(clash)
+    if order:
+        by = [*order, *(c for c, kind in new.dtypes if c not in order and "map<" not in kind and kind != "variant")]
+        own = own.groupBy(*keys).agg(F.min_by(F.struct(*new.columns), F.struct(*by)).alias("first")).select("first.*")
+    else:
+        own = own.dropDuplicates(keys)
+    return own.join(existing.select(*keys), keys, "left_anti").select(*new.columns).unionByName(new.where(~clash))
 
 
 def appended(existing: DataFrame, new: DataFrame) -> DataFrame:

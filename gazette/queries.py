@@ -51,8 +51,11 @@ def email_source_like(spark, d):
     return match.source_of_sender(b.newsletters(spark, d).select("id", "from_email"), b.mappings(spark, d), compat=False).select("id", "source_id")
 
 
-@query(f"""SELECT user_id, rule_id, newsletter_id, 'pending' AS status, '2024-01-29' AS digest_batch_id, 'daily' AS notification_type FROM (SELECT r.user_id, r.id AS rule_id, n.id AS newsletter_id FROM n LEFT JOIN s ON n.source_id = s.id JOIN r ON {FITS} WHERE n.topics IS NOT NULL AND n.plain_text IS NOT NULL AND r.is_active AND r.delivery_frequency = 'daily' AND r.user_id IN (SELECT id FROM on_users)) x
-  WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.user_id = x.user_id AND q.newsletter_id = x.newsletter_id AND q.rule_id = x.rule_id)""")
+QUEUED = f"""SELECT user_id, rule_id, newsletter_id, 'pending' AS status, '2024-01-29' AS digest_batch_id, 'daily' AS notification_type FROM (SELECT r.user_id, r.id AS rule_id, n.id AS newsletter_id FROM n LEFT JOIN s ON n.source_id = s.id JOIN r ON {FITS} WHERE n.topics IS NOT NULL AND n.plain_text IS NOT NULL AND r.is_active AND r.delivery_frequency = 'daily' AND r.user_id IN (SELECT id FROM on_users)) x
+  WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.user_id = x.user_id AND q.newsletter_id = x.newsletter_id AND q.rule_id = x.rule_id)"""
+
+
+@query(QUEUED)
 def queue_matches(spark, d):
     new = match.queue_rows(rule_match(spark, d), F.lit("2024-01-30 05:30:00").cast("timestamp"))
     old = b.queue(spark, d).where("newsletter_id is not null")
@@ -521,4 +524,4 @@ def resanitize(spark, d):
     return ingest.resanitized(pages).select("id", "modified", F.length("difference").cast("long").alias("difference"))
 
 
-from . import plan_queries  # noqa: E402, F401  registers its own
+from . import plan_queries, stream_queries  # noqa: E402, F401  register their own

@@ -28,6 +28,6 @@ def quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def with_ward(spark: SparkSession, d: str) -> DataFrame:
+def with_ward(spark: SparkSession, d: str, documents: DataFrame | None = None) -> DataFrame:
     s = b.sources(spark, d).select(F.col("id").alias("_s"), "ward_number")
-    return b.newsletters(spark, d).join(F.broadcast(s), F.col("source_id") == F.col("_s"), "left").drop("_s")
+    return b.newsletters(spark, d, documents).join(F.broadcast(s), F.col("source_id") == F.col("_s"), "left").drop("_s")

@@ -14,11 +14,11 @@ MARKERS = ["the ", "and ", "ing ", "de ", "des ", "que ", "der ", "die ", "ción
 TERMS = ["tion", "The", "zzz", "ent "]
 
 
-def newsletters(spark: SparkSession, d: str) -> DataFrame:
-    """The documents; one message in 50 comes twice, under the id of the one before."""
+def newsletters(spark: SparkSession, d: str, documents: DataFrame | None = None) -> DataFrame:
+    """The documents, or those given; one message in 50 comes twice, under the id of the one before."""
     # bound to a variable, so that a text is lower-cased once for all topics
     topics = F.transform(F.array(F.lower("text")), lambda low: F.array_compact(F.array(*(F.when(F.contains(low, F.lit(m)), t) for m, t in zip(MARKERS, TOPICS, strict=True)))))[0]
-    return table(spark, d, "documents").select(
+    return (table(spark, d, "documents") if documents is None else documents).select(
         F.col("doc_id").cast("string").alias("id"),
         F.expr("concat('m', cast(if(doc_id % 50 = 1, doc_id - 1, doc_id) as string))").alias("email_uid"),
         F.expr("case when doc_id % 37 <> 0 then timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(doc_id % 60 as int), cast(doc_id % 24 as int)) end").alias("received_date"),

@@ -29,3 +29,10 @@ def mail(spark: SparkSession, path: str) -> DataFrame:
 
 def with_archive(sources: DataFrame) -> DataFrame:
     return sources.where("newsletter_archive_url is not null")
+
+
+def streamed(spark: SparkSession, folder: str, name: str, files: int | None = None) -> DataFrame:
+    """A table of a folder as a stream of its files, so many at a time."""
+    reader = spark.readStream.schema(table(spark, folder, name).schema)
+    reader = reader if files is None else reader.option("maxFilesPerTrigger", files)
+    return reader.parquet(f"{folder}/{name}.parque[t]")  # a pattern, as the table may be one file
