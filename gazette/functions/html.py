@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter, deque
 from html import escape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -26,13 +27,31 @@ class Node:
         self.tag, self.attrs, self.raw, self.children, self.closed = tag, dict(attrs), raw, [], False
 
     def text(self) -> str:
-        return self.raw if self.tag is None else "".join(c.text() for c in self.children)
+        return "".join(n.raw for n in _below(self) if n.tag is None)
 
     def html(self) -> str:
-        if self.tag is None:
-            return self.raw if not self.attrs.get("plain") else escape(self.raw, quote=False)
-        inside = "".join(c.html() for c in self.children)
-        return f"{self.raw}{inside}</{self.tag}>" if self.tag and self.closed else self.raw + inside
+        out, todo = [], [self]
+        while todo:
+            n = todo.pop()
+            if isinstance(n, str):
+                out.append(n)
+            elif n.tag is None:
+                out.append(n.raw if not n.attrs.get("plain") else escape(n.raw, quote=False))
+            else:
+                out.append(n.raw)
+                if n.tag and n.closed:
+                    todo.append(f"</{n.tag}>")
+                todo += reversed(n.children)
+        return "".join(out)
+
+
+def _below(node: Node):
+    """The node and all below it, in the order of the page; at any depth."""
+    todo = [node]
+    while todo:
+        n = todo.pop()
+        yield n
+        todo += reversed(n.children)
 
 
 class _Tree(HTMLParser):
@@ -40,21 +59,24 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=False)
         self.root = Node("")
         self.open = [self.root]
+        self.names: Counter = Counter()  # how many elements of each name are open
 
     def handle_starttag(self, tag, attrs):
         node = Node(tag, attrs, self.get_starttag_text() or "")
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.names[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.open[-1].children.append(Node(tag, attrs, self.get_starttag_text() or ""))
 
     def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                self.open[k].closed = True
-                del self.open[k:]
+        while self.names[tag]:
+            node = self.open.pop()
+            self.names[node.tag] -= 1
+            if node.tag == tag:
+                node.closed = True
                 return
 
     def _keep(self, raw):
@@ -88,17 +110,39 @@ def _chosen(node: Node, selectors: list[str]) -> bool:
     return any((s[0] == "." and s[1:] in classes) or (s[0] == "#" and s[1:] == name) for s in selectors)
 
 
-def _clean(node: Node, urls, phrases, selectors) -> list[Node]:
-    """What takes the node's place: nothing, its children or the node."""
-    if node.tag is None:
-        return [node]
-    if node.tag and _chosen(node, selectors):
-        return []
-    link = node.tag == "a" and node.attrs.get("href")
-    if link and phrases.search(node.text()):
-        return []
-    node.children = [x for c in node.children for x in _clean(c, urls, phrases, selectors)]
-    return node.children if link and urls.search(node.attrs["href"]) else [node]
+#: A pattern that fits nothing.
+NEVER = r"(?!)"
+#: What makes a pattern depend on what stands around a match.
+_AROUND = re.compile(r"[\^$]|\\[bBAZ]|\(\?[=!<]")
+
+
+def _clean(root: Node, urls, phrases, selectors) -> None:
+    """Takes nodes out of the tree, and puts children in the place of others.
+
+    The text of a link inside a link is part of the outer one's, which was searched in vain if it is still there, so that it need
+    not be searched again, unless a pattern looks around."""
+    once = phrases.pattern == NEVER or not _AROUND.search(phrases.pattern)
+    todo = [(root, iter(root.children), [], False)]
+    while todo:
+        node, rest, kept, searched = todo[-1]
+        for n in rest:
+            if n.tag is None:
+                kept.append(n)
+                continue
+            link = n.tag == "a" and n.attrs.get("href")
+            if _chosen(n, selectors) or (link and not searched and phrases.search(n.text())):
+                continue
+            within = searched or bool(link and once)
+            if link and urls.search(link):
+                todo.append((None, iter(n.children), kept, within))  # what is kept of it goes where it stood
+            else:
+                kept.append(n)
+                todo.append((n, iter(n.children), [], within))
+            break
+        else:
+            todo.pop()
+            if node is not None:
+                node.children = kept
 
 
 def sanitized(html: str | None, urls: list[str] = URL_PATTERNS, phrases: list[str] = TEXT_PATTERNS, selectors: list[str] = SELECTORS) -> str:
@@ -107,9 +151,11 @@ def sanitized(html: str | None, urls: list[str] = URL_PATTERNS, phrases: list[st
     if not html:
         return ""
     try:
-        either = lambda x: re.compile("|".join(f"(?:{p})" for p in x) or r"(?!)", re.IGNORECASE)
-        return "".join(n.html() for n in _clean(tree(html), either(urls), either(phrases), selectors))
-    except (AssertionError, RecursionError, ValueError):
+        either = lambda x: re.compile("|".join(f"(?:{p})" for p in x) or NEVER, re.IGNORECASE)
+        root = tree(html)
+        _clean(root, either(urls), either(phrases), selectors)
+        return root.html()
+    except (AssertionError, ValueError):
         return html
 
 
@@ -117,40 +163,97 @@ _BLOCK = {"p", "div", "section", "article", "header", "footer", "table", "tr", "
 _SKIPPED = {"script", "style", "head", "title", "noscript"}
 
 
+class _Pieces(deque):
+    """A text in pieces, which joins others and loses white space at its ends without being copied."""
+
+    def joined(self, other: _Pieces) -> _Pieces:
+        if len(other) > len(self):
+            other.extendleft(reversed(self))
+            return other
+        self.extend(other)
+        return self
+
+    def stripped(self, chars: str | None = None) -> _Pieces:
+        while self:
+            first = self.popleft().lstrip(chars)
+            if first:
+                self.appendleft(first)
+                break
+        while self:
+            last = self.pop().rstrip(chars)
+            if last:
+                self.append(last)
+                break
+        return self
+
+    def within(self, before: str, after: str) -> _Pieces:
+        self.appendleft(before)
+        self.append(after)
+        return self
+
+    def apart(self) -> _Pieces:
+        """With a blank line before and after; one that is there already does."""
+        if not (self and self[0].startswith("\n\n")):
+            self.appendleft("\n\n")
+        if not self[-1].endswith("\n\n"):
+            self.append("\n\n")
+        return self
+
+
+def _marked(n: Node, inside: _Pieces) -> _Pieces:
+    """What an element makes of the text inside it."""
+    if n.tag == "br":
+        return _Pieces(["  \n"])
+    if n.tag == "a" and n.attrs.get("href"):
+        return inside.stripped().within("[", f"]({n.attrs['href']})")
+    if n.tag in ("b", "strong", "i", "em"):
+        sign = "**" if n.tag in ("b", "strong") else "_"
+        return inside.within(sign, sign) if inside.stripped() else inside
+    if n.tag == "img":
+        return _Pieces([f"![{n.attrs.get('alt') or ''}]({n.attrs.get('src') or ''})"])
+    if n.tag == "li":
+        return inside.stripped().within("\n  * ", "\n")
+    if re.fullmatch("h[1-6]", n.tag):
+        return inside.stripped().within(f"\n\n{'#' * int(n.tag[1])} ", "\n\n")
+    return inside.stripped(" ").apart() if n.tag in _BLOCK else inside
+
+
 def marked(html: str | None) -> str:
     """A markdown text of the page: headings, list items, [text](link), line breaks; no more than one blank line."""
     import html as entities
 
-    def walk(n: Node) -> str:
-        if n.tag is None:
-            return "" if n.raw.startswith("<!") else re.sub(r"\s+", " ", entities.unescape(n.raw))
-        if n.tag in _SKIPPED:
-            return ""
-        inside = "".join(walk(c) for c in n.children)
-        if n.tag == "br":
-            return "  \n"
-        if n.tag == "a" and n.attrs.get("href"):
-            return f"[{inside.strip()}]({n.attrs['href']})"
-        if n.tag in ("b", "strong"):
-            return f"**{inside.strip()}**" if inside.strip() else ""
-        if n.tag in ("i", "em"):
-            return f"_{inside.strip()}_" if inside.strip() else ""
-        if n.tag == "img":
-            return f"![{n.attrs.get('alt') or ''}]({n.attrs.get('src') or ''})"
-        if n.tag == "li":
-            return f"\n  * {inside.strip()}\n"
-        if re.fullmatch("h[1-6]", n.tag or ""):
-            return f"\n\n{'#' * int(n.tag[1])} {inside.strip()}\n\n"
-        return f"\n\n{inside.strip(' ')}\n\n" if n.tag in _BLOCK else inside
-
-    return re.sub(r"\n{3,}", "\n\n", walk(tree(html or ""))).strip()
-
-
-def _find(node: Node, above=()):
-    for c in node.children:
-        if c.tag:
-            yield c, (*above, node)
-            yield from _find(c, (*above, node))
+    root = tree(html or "")
+    todo = [(root, iter(root.children), _Pieces())]
+    while True:
+        node, rest, text = todo[-1]
+        for n in rest:
+            if n.tag is None:
+                if not n.raw.startswith("<!"):
+                    text.append(re.sub(r"\s+", " ", entities.unescape(n.raw)))
+            elif n.tag not in _SKIPPED:
+                todo.append((n, iter(n.children), _Pieces()))
+                break
+        else:
+            todo.pop()
+            if not todo:
+                return re.sub(r"\n{3,}", "\n\n", "".join(text)).strip()
+            above, its_rest, its_text = todo.pop()
+            todo.append((above, its_rest, its_text.joined(_marked(node, text))))
+
+
+def _find(root: Node):
+    """Each element and the list of those around it, the nearest last; the list changes as the search goes on."""
+    above, todo = [root], [iter(root.children)]
+    while todo:
+        for n in todo[-1]:
+            if n.tag:
+                yield n, above
+                above.append(n)
+                todo.append(iter(n.children))
+                break
+        else:
+            todo.pop()
+            above.pop()
 
 
 _DAY = re.compile(r"(\d{1,2}/\d{1,2}/\d{4})\s*-")
@@ -183,7 +286,7 @@ def links_of(html: str | None, base: str | None) -> list[dict]:
     mailing = any(x in (base or "").lower() for x in ("mailchimp", "campaign-archive"))
     try:
         return (archive_links if mailing else listed_links)(html, base or "")
-    except (AssertionError, RecursionError, ValueError):
+    except (AssertionError, ValueError):
         return []
 
 
