@@ -31,12 +31,13 @@ def stems(s: pd.Series) -> pd.Series:
     return s.map(lambda ws: [stemmed(w) for w in ws] if ws is not None else None)
 
 
-def inverted(docs: DataFrame, id_: str, text: Column, stem: bool = False, everything: bool = False) -> DataFrame:
+def inverted(docs: DataFrame, id_: str, text: Column, stem: bool = False, everything: bool = False, only: DataFrame | None = None) -> DataFrame:
     """(term, id, places): where each word other than a stop word stands in each document; with `everything` stop words too, which
-    phrases need."""
+    phrases need; with `only` (term) those words alone, before anything is grouped."""
     w = stems(words(text)) if stem else words(text)
     rows = docs.select(F.col(id_), F.posexplode(w).alias("place", "term"))
     rows = rows if everything else rows.where(~F.col("term").isin(STOP))
+    rows = rows if only is None else rows.join(only.select("term").distinct(), "term", "left_semi")
     return rows.groupBy("term", id_).agg(F.array_sort(F.collect_list("place")).alias("places"))
 
 

@@ -110,12 +110,22 @@ def websearch_stemmed(spark, d):
 _SAID = {"a": ("thin -license", "list_contains(w, 'thin') AND NOT list_contains(w, 'license')"), "b": ('"mit license" or des und', "contains(t, ' mit license ') OR list_contains(w, 'des') AND list_contains(w, 'und')"), "c": ("-the", "NULL"), "d": ('"under the mit"', "contains(t, ' under the mit ')"), "e": ("-license", "NOT list_contains(w, 'license')")}
 
 
-@query(rf"SELECT q AS query_id, id FROM (SELECT id, w, ' ' || array_to_string(w, ' ') || ' ' AS t FROM (SELECT id, list_filter({_WORDS}, lambda x: x <> '') AS w FROM n)), (SELECT unnest({list(_SAID)}) AS q) WHERE CASE q " + " ".join(f"WHEN '{k}' THEN {v[1]}" for k, v in _SAID.items()) + " END")
+def asked_queries(spark):
+    return spark.createDataFrame([(k, v[0]) for k, v in _SAID.items()], "query_id string, query string")
+
+
+INDEXED = (
+    rf"SELECT q AS query_id, id FROM (SELECT id, w, ' ' || array_to_string(w, ' ') || ' ' AS t FROM (SELECT id, list_filter({_WORDS}, lambda x: x <> '') AS w FROM n)), (SELECT unnest({list(_SAID)}) AS q) WHERE CASE q " + " ".join(f"WHEN '{k}' THEN {v[1]}" for k, v in _SAID.items()) + " END"
+)
+
+
+@query(INDEXED)
 def indexed_search(spark, d):
     """Many queries at once by the inverted index."""
     n = b.newsletters(spark, d)
-    index = search.inverted(n, "id", F.concat(F.coalesce("subject", F.lit("")), F.lit(" "), F.coalesce("plain_text", F.lit(""))), everything=True)
-    asked = spark.createDataFrame([(k, v[0]) for k, v in _SAID.items()], "query_id string, query string")
+    asked = asked_queries(spark)
+    words = search.parsed_queries(asked).select(F.explode("words").alias("term"))
+    index = search.inverted(n, "id", F.concat(F.coalesce("subject", F.lit("")), F.lit(" "), F.coalesce("plain_text", F.lit(""))), everything=True, only=words)
     return search.find(index, n.select("id"), asked)
 
 
