@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from .constants import TOPICS
 from .functions import answers, cost, dates, html, prompts, text
 from .operators import costs, reports, search, store
-from .plans import analysis, enrich, ingest, unsubscribe, weekly
+from .plans import analysis, enrich, ingest, remembered, unsubscribe, weekly
 from .plans import digests as digest_plan
 from .registry import WEEK, query, quoted, with_ward
+from .session import shared_place
 from .sources import bindings as b
 from .sources import mail as mail_source
 from .sources.tables import table, with_archive
@@ -50,6 +51,15 @@ def enrich_documents(spark, d):
     return enrich.enriched(b.newsletters(spark, d), _lexicon).withColumn("topics", F.array_join("topics", ","))
 
 
+@query(f"SELECT id, array_to_string(topics, ',') AS topics, summary, relevance_score FROM ({_ENRICHED})")
+def enrich_remembered(spark, d):
+    """The same by answers kept from a first run over two documents of three, with changed subjects among them."""
+    n, place = b.newsletters(spark, d), f"{shared_place(spark)}/answers"
+    some = n.where(F.pmod(F.xxhash64("id"), F.lit(3)) > 0).withColumn("subject", F.when(F.pmod(F.xxhash64("id"), F.lit(3)) == 1, F.lit("other")).otherwise(F.col("subject")))
+    remembered.remembered(some, place, "lexicon 1", _lexicon)
+    return remembered.remembered(n, place, "lexicon 1", _lexicon, at_once=4).select("id", F.array_join("topics", ",").alias("topics"), "summary", "relevance_score")
+
+
 @query(f"SELECT id AS key, unnest(CASE WHEN contains(lower(c), 'license') THEN ['topics'] ELSE [] END || CASE WHEN length(c) < 200 THEN ['summary'] ELSE [] END) AS step, CASE step WHEN 'topics' THEN 'ValueError: no topics here' ELSE 'LookupError: too short' END AS error FROM ({_CONTENT})")
 def dead_letters(spark, d):
     """What an enricher that fails now and then leaves behind."""

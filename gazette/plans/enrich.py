@@ -6,6 +6,7 @@ import json
 import re
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
@@ -128,24 +129,29 @@ def _tried(step: str, f: Callable, default, failures: list):
 FAILURES = "failures array<struct<step:string,error:string>>"
 
 
-def enriched(docs: DataFrame, make: Callable[[], Enricher] = Lexicon, most: int = MAX_CHARS, failures: bool = False) -> DataFrame:
+def enriched(docs: DataFrame, make: Callable[[], Enricher] = Lexicon, most: int = MAX_CHARS, failures: bool = False, at_once: int = 1) -> DataFrame:
     """docs (id, subject, plain_text) with topics, summary and relevance_score, in one pass: the score needs the other two.
 
     On failure topics are empty, the summary is '' and the score null; with `failures` a column names the steps that failed and
-    why. Texts are cut to `most` characters first."""
+    why. Texts are cut to `most` characters first. at_once: documents of a partition that are asked about at a time, in threads; the
+    enricher then has to allow that."""
     columns = ["id", "topics", "summary", "relevance_score", "failures"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = make()
-        for b in batches:
-            rows = []
-            for i, subject, text in zip(b["id"], b["subject"], b["plain_text"], strict=True):
-                content, bad = f"Subject: {subject or ''}\n\n{text or ''}", []
-                topics = [t for t in _tried("topics", lambda c=content: e.topics(c), [], bad) if t in TOPICS]
-                summary = _tried("summary", lambda c=content: e.summary(c), "", bad)
-                score = _tried("relevance_score", lambda c=content, t=topics, s=summary: e.relevance(c, t, s), None, bad)
-                rows.append((i, topics, summary, score, bad))
-            yield pd.DataFrame(rows, columns=columns).astype({"relevance_score": "Int32"})
+
+        def one(row: tuple) -> tuple:
+            i, subject, text = row
+            content, bad = f"Subject: {subject or ''}\n\n{text or ''}", []
+            topics = [t for t in _tried("topics", lambda: e.topics(content), [], bad) if t in TOPICS]
+            summary = _tried("summary", lambda: e.summary(content), "", bad)
+            return i, topics, summary, _tried("relevance_score", lambda: e.relevance(content, topics, summary), None, bad), bad
+
+        with ThreadPoolExecutor(at_once) as pool:
+            for b in batches:
+                rows = zip(b["id"], b["subject"], b["plain_text"], strict=True)
+                made = list(pool.map(one, rows)) if at_once > 1 else list(map(one, rows))
+                yield pd.DataFrame(made, columns=columns).astype({"relevance_score": "Int32"})
 
     out = docs.select("id", "subject", F.substring("plain_text", 1, most).alias("plain_text")).mapInPandas(run, f"id string, topics array<string>, summary string, relevance_score int, {FAILURES}")
     return out if failures else out.drop("failures")

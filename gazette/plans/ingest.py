@@ -47,6 +47,19 @@ def reprocessed(docs: DataFrame, newest: int | None = None, skip: int | None = N
     return enriched(own, enrich) if enrich else enriched(own)
 
 
+def reprocess(docs: DataFrame, sources: DataFrame, enrich: Callable[[DataFrame], DataFrame], rules: DataFrame | None = None, profiles: DataFrame | None = None, queue: DataFrame | None = None, now: Column | None = None) -> dict[str, DataFrame]:
+    """docs, of those chosen, with what enrich makes of those with text; and where rules are given, queue: rows for the daily rules
+    that fit now and are not in the queue yet."""
+    made = enrich(docs.where("coalesce(plain_text, '') <> ''"))
+    kept = [c for c in docs.columns if c not in ("topics", "summary", "relevance_score")]
+    out = {"docs": docs.select(*kept).join(made.select("id", "topics", "summary", "relevance_score"), "id")}
+    if rules is not None:
+        wards = sources.select(F.col("id").alias("source_id"), "ward_number")
+        matches = match_daily(out["docs"].join(wards, "source_id", "left"), rules, profiles)
+        out["queue"] = newcomers(queue, queue_rows(matches, now), ["user_id", "newsletter_id", "rule_id"])
+    return out
+
+
 def resanitized(docs: DataFrame, phrases: list[str] | None = None) -> DataFrame:
     """(id, raw_html, plain_text, modified, difference) of all documents under the present patterns; a second time changes no text."""
     html, text = redact(sanitize_html(F.col("raw_html")), phrases or []), redact(sanitize_text(F.col("plain_text")), phrases or [])
