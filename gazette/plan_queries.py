@@ -94,7 +94,7 @@ def weekly_reports(spark, d):
 
 def _weekly_run(spark, d):
     old = b.reports(spark, d).where(F.col("topic").isin(TOPICS[:4])).withColumn("report_summary", F.lit("old"))
-    return weekly.run(with_ward(spark, d), b.rules(spark, d), old, WEEK, F.lit("2024-02-05").cast("timestamp"), _lexicon)
+    return weekly.run(with_ward(spark, d), b.rules(spark, d), old, WEEK, F.lit("2024-02-05").cast("timestamp"), _lexicon, known=TOPICS)
 
 
 _OLD4 = "topic IN (" + ", ".join(map(quoted, TOPICS[:4])) + ")"
@@ -157,13 +157,22 @@ def _ingested(spark, d):
     return ingest.ingest_mail(mails, old, b.mappings(spark, d), b.sources(spark, d), b.rules(spark, d), b.profiles(spark, d), F.lit("2024-03-01").cast("timestamp"))
 
 
-@query(None)
+#: The first message of each id that wasn't there, and the source of its sender.
+_FRESH = f"(SELECT email_uid, f, subject, {_SENDER} AS source FROM (SELECT email_uid, from_email AS f, coalesce(nullif(subject, ''), '(No subject)') AS subject FROM n WHERE email_uid NOT IN (SELECT email_uid FROM n WHERE source_id >= 18) QUALIFY row_number() OVER (PARTITION BY email_uid ORDER BY received_date NULLS FIRST, subject) = 1))"
+
+
+@query(f"SELECT email_uid, source::INT AS source_id, subject, 'list@example.org' AS to_email FROM {_FRESH} WHERE source IS NOT NULL")
 def mail_ingest(spark, d):
-    """Mail made of the documents through the whole pipeline: what would be stored. Which of two messages of one id stays is told
-    by time alone; tests check each step."""
+    """Mail made of the documents through the whole pipeline: what would be stored. Of two messages of one id the earlier stays."""
     return _ingested(spark, d)["new"].select("email_uid", "source_id", "subject", "to_email")
 
 
+@query(f"SELECT email_uid, f AS from_email, subject FROM {_FRESH} WHERE source IS NULL")
+def mail_unmapped(spark, d):
+    """Mail of senders that no mapping fits."""
+    return _ingested(spark, d)["unmapped"].select("email_uid", "from_email", "subject")
+
+
 @query("SELECT DISTINCT email_uid FROM n WHERE email_uid NOT IN (SELECT email_uid FROM n WHERE source_id >= 18)")
 def mail_seen_once(spark, d):
     """Each message that wasn't there, stored or of an unknown sender, once."""

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import MAX_CHARS, TOPICS
+from ..functions.dates import WEEK_ID
 from ..functions.prompts import prompt
 from ..session import settled
 
@@ -220,12 +221,25 @@ def synthesised(facts: DataFrame, documents: DataFrame, make: Callable[[], Enric
         texts = made.where("coalesce(trim(text), '') <> '' or size(failures) > 0").select("topic", _block(F.col("block").cast("string"), F.col("n")).alias("block"), "n", F.struct(name.alias("id"), F.lit(0).alias("place"), F.col("text").alias("description")).alias("f"), "failures")
 
 
-def report_parts(docs: DataFrame, week: str, make: Callable[[], Enricher] = Lexicon) -> dict[str, DataFrame]:
+def refused(docs: DataFrame, week: str, topics: list[str] | None) -> tuple[DataFrame, DataFrame]:
+    """docs of known topics, none for what is no week id; and a failure (key, step, error) for the week, or for each other topic."""
+    spark, failure = docs.sparkSession, "key string, step string, error string"
+    if not re.fullmatch(WEEK_ID, week or ""):
+        return docs.limit(0), spark.createDataFrame([(week, "week", "no week id")], failure)
+    if topics is None:
+        return docs, spark.createDataFrame([], failure)
+    unknown = docs.where(~F.col("topic").isin(topics)).select(F.col("topic").alias("key"), F.lit("topic").alias("step"), F.lit("unknown topic").alias("error")).distinct()
+    return docs.where(F.col("topic").isin(topics)), unknown
+
+
+def report_parts(docs: DataFrame, week: str, make: Callable[[], Enricher] = Lexicon, topics: list[str] | None = None) -> dict[str, DataFrame]:
     """The reports of a week on rows (topic, id, plain_text, ward_number), each part as rows, so that no topic has to fit one task:
     reports (topic, week_id, report_summary), developments (topic, id, place, description, wards), newsletters (topic, id),
     failures (key, step, error, by topic or document).
 
-    A topic without facts or without a synthesis has no report. newsletters are all documents, also those without facts."""
+    A topic without facts or without a synthesis has no report. newsletters are all documents, also those without facts. What is no
+    week id, and topics that are not among `topics`, where these are given, have no reports, but a failure."""
+    docs, bad = refused(docs, week, topics)
     found = settled(developments(docs, make))
     facts = found.where("description is not null")
     documents = docs.groupBy("topic").agg(F.count("*").alias("n"))
@@ -237,7 +251,7 @@ def report_parts(docs: DataFrame, week: str, make: Callable[[], Enricher] = Lexi
         "reports": reports_,
         "developments": facts.drop("failures").join(with_report, "topic", "left_semi"),
         "newsletters": docs.select("topic", "id").distinct().join(with_report, "topic", "left_semi"),
-        "failures": failures,
+        "failures": failures.union(bad),
     }
 
 

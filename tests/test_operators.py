@@ -239,6 +239,33 @@ def test_synthesis_in_rounds(spark):
     assert len(whole["a"]["newsletter_ids"]) == len(whole["a"]["key_developments"]) == 300 and whole["a"]["key_developments"][0]["wards"] == ["7"]
 
 
+def test_refused_reports(spark):
+    docs = spark.createDataFrame([("bike_lanes", "d1", "Bike lanes.", None), ("odd", "d2", "Odd.", None), ("odd", "d3", "Odd.", None)], "topic string, id string, plain_text string, ward_number string")
+    parts = enrich.report_parts(docs, "2024-W05", lambda: enrich.Lexicon({"bike_lanes": ["bike"], "odd": ["odd"]}), ["bike_lanes"])
+    assert [r["topic"] for r in parts["reports"].collect()] == ["bike_lanes"] and [tuple(r) for r in parts["failures"].collect()] == [("odd", "topic", "unknown topic")]
+    for week in ("2024", "", None, "week 5", "2024-W05x"):
+        parts = enrich.report_parts(docs, week)
+        assert not parts["reports"].collect() and [r["step"] for r in parts["failures"].collect()] == ["week"]
+
+
+def test_weekly_run_in_rows(spark):
+    docs = spark.createDataFrame([("1", dt.datetime(2024, 1, 30), ["x"], "About x. More x.", "7")], "id string, received_date timestamp_ntz, topics array<string>, plain_text string, ward_number string")
+    rules = spark.createDataFrame([("r", "u", ["x"], None, [], True, "weekly")], RULE)
+    old = spark.createDataFrame([], "id string, topic string, week_id string, report_summary string, newsletter_ids array<string>")
+    out = weekly.run(docs, rules, old, "2024-W05", F.current_timestamp(), lambda: enrich.Lexicon({"x": ["x"]}), whole=False)
+    assert [(r["report_summary"], r["newsletter_ids"]) for r in out["reports"].collect()] == [("About x. More x.", None)]
+    assert [(r["id"], r["description"]) for r in out["developments"].orderBy("place").collect()] == [("1", "About x."), ("1", "More x.")] and out["newsletters"].count() == 1
+
+
+def test_confirmed_unsubscription(spark):
+    now = F.lit(1_700_000_000)
+    users = spark.createDataFrame([("a", "{}"), ("b", "{}"), ("c", "{}"), ("d", unsubscribe.OFF), ("e", "{}")], PROFILE)
+    asked = spark.createDataFrame([("a", "GET", None), ("b", "post", None), ("c", "GET", "true"), ("d", "POST", None), ("e", "GET", "yes")], "who string, method string, confirm string").select(signed.token_for(F.col("who"), now, "s").alias("token"), F.lit(None).cast("string").alias("user_id"), "method", "confirm")
+    after, out = unsubscribe.unsubscribed(users, asked, now + 1, "s")
+    assert {r["subject"]: r["outcome"] for r in out.collect()} == {"a": "to confirm", "b": "done", "c": "done", "d": "already", "e": "to confirm"}
+    assert {r["id"] for r in after.where(F.col("notification_preferences") == unsubscribe.OFF).collect()} == {"b", "c", "d"}
+
+
 def test_weekly_run(spark):
     docs = spark.createDataFrame([("1", dt.datetime(2024, 1, 30), ["x", "y"], "About x. And y.", None), ("2", dt.datetime(2024, 1, 30), ["z"], "About z.", None)], "id string, received_date timestamp_ntz, topics array<string>, plain_text string, ward_number string")
     rules = spark.createDataFrame([("r", "u", ["x", "y", "q"], None, [], True, "weekly")], RULE)
