@@ -211,7 +211,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
     Null and empty texts are one group, unless white space other than none sets them apart (" " is not ""). Rows that
     repeat with the same doc_id count each and are kept alike; null ids are kept only in groups without another id.
-    An empty table gives no rows; columns besides doc_id and text are ignored."""
+    Texts of any length are digested whole. An empty table gives no rows; columns besides doc_id and text are ignored."""
     keys = written(digests(docs))
     index = build_index(keys).select(F.col("sha").alias("k"), "keep_id", "group_size")
     return keys.join(index, keys.sha == index.k).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))

@@ -124,7 +124,8 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None) -> DataFra
 
     Null counts as empty; a text that is empty once normalised is no licence. Rows that repeat stay. The known licences
     are a list in code or of the caller's, so broadcasting them is bounded by it; an empty table gives no rows; columns besides
-    doc_id and text are ignored. Lines of over LINE characters are no notices."""
+    doc_id and text are ignored, whatever their names. Texts of any length are digested whole; lines of over LINE characters
+    are no notices, and neither are notices of several lines."""
     spark = docs.sparkSession
     texts = KNOWN if texts is None else texts
     short = known(spark, [(k, t) for k, t in texts if "\n" not in t.strip() and len(t) <= LINE]).collect()

@@ -191,7 +191,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, most_open: int = OPEN
 
     Each partition packs its own texts as they come, without a shuffle; the windows still open at its end, at most
     most_open of them, are merged afterwards by fewer and fewer tasks, from the second round on with one open window each, down
-    to one. Null and empty texts are one token, the end. Rows
+    to one. Null and empty texts are one token, the end; texts of any length are read whole. Rows
     that repeat are packed each on their own. sequence_id is unique, not dense; an empty table gives no rows; columns besides
     doc_id and text are ignored, whatever their names. path is read by the driver and every executor."""
     from pyspark import TaskContext

@@ -167,7 +167,7 @@ def near_dedup(docs: DataFrame, near: int = NEAR) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) for every row of docs.
 
     Null, empty and wordless texts have fingerprint 0, which links like any other. Equal fingerprints are one class, so
-    copies never form pairs. Rows that repeat are alike. Rows of null doc_id count only if their class has an id. An
+    copies never form pairs. Rows that repeat are alike. Texts of any length are read whole. Rows of null doc_id count only if their class has an id. An
     empty table gives no rows; columns besides doc_id and text are ignored."""
     own = written(fingerprints(docs))
     classes = written(own.groupBy("fp").agg(F.min("doc_id").alias("id")))

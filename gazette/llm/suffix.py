@@ -421,7 +421,7 @@ def dedup_report(docs: DataFrame, width: int = WIDTH, kgram: int = KGRAM, group:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs.
 
     Every byte goes that lies in a string of `width` bytes which also starts elsewhere in the table, judged on the input.
-    Null counts as empty; texts shorter than width stay whole. Rows that repeat are copies of each other like any
+    Null counts as empty; texts shorter than width stay whole, longer ones of any length are read whole. Rows that repeat are copies of each other like any
     texts. An empty table gives no rows; columns besides doc_id and text are ignored."""
 
     def how(batches):
@@ -447,7 +447,8 @@ def dedup_report(docs: DataFrame, width: int = WIDTH, kgram: int = KGRAM, group:
 def without_repeats(docs: DataFrame, width: int = WIDTH, kgram: int = KGRAM, group: int = GROUP) -> DataFrame:
     """docs with the repeated bytes cut out of text; bytes of a character that a cut leaves incomplete go, too.
 
-    Texts without repeats, null ones included, stay as they are, and so do all other columns, whatever their names."""
+    Texts without repeats, null ones included, stay as they are, and so do all other columns. Texts of any length are read whole;
+    rows that repeat are copies of each other, and lose what they share; an empty table stays empty."""
 
     runs = repeated_runs(keyed(docs), width, kgram, group).select(F.col("sha").alias("_sha"), F.col("runs").alias("_runs"))
 
