@@ -88,14 +88,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays, of the smallest id.
 
     Null and empty texts are one group; null ids give way to others; of rows that repeat one stays; an empty table stays empty;
-    all columns stay, whatever their names."""
+    texts of any length are read whole; all columns stay, whatever their names."""
     return _one_each(docs, lambda own: exact.exact_dedup(own).select("doc_id", "keep_id"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies one row stays, of the smallest id.
 
-    Texts without words, null ones too, are alike; null ids, repeated rows, empty tables and columns as in drop_copies."""
+    Texts without words, null ones too, are alike; texts of any length are read whole; null ids, repeated rows, empty tables and columns as in drop_copies."""
     return _one_each(docs, lambda own: simhash.near_dedup(own).select("doc_id", "component_id"))
 
 
@@ -104,7 +104,7 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     and empty texts among them.
 
     Rows that repeat are copies of each other and lose all such bytes: the stages before leave none. n_chars, where there is
-    such a column, is that of what is left; other columns stay, whatever their names. An empty table stays empty."""
+    such a column, is that of what is left; texts of any length are read whole; other columns stay, whatever their names. An empty table stays empty."""
     cut = suffix.without_repeats(docs, PASSAGE)
     cut = cut.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else cut
     return cut.where("coalesce(length(trim(text)), 0) > 0")
@@ -112,7 +112,7 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in their sequences. Null texts count as empty: the one id that ends a document; rows that
-    repeat are packed each; an empty table gives no rows; columns besides doc_id and text are ignored."""
+    repeat are packed each; texts of any length are packed whole; an empty table gives no rows; columns besides doc_id and text are ignored."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
