@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from ..constants import PAGE_SIZE
 from ..functions.stem import stemmed
+from .store import unused
 
 #: Words of English that say nothing by themselves.
 STOP = "a about above after again against all am an and any are as at be because been before being below between both but by can did do does doing don down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or other our ours ourselves out over own s same she should so some such t than that the their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom why will with you your yours yourself yourselves".split()
@@ -151,16 +152,18 @@ def with_terms(docs: DataFrame, text: str, terms: DataFrame, name: str, block: i
 def with_phrases(docs: DataFrame, text: str, phrases: DataFrame, phrase: str) -> DataFrame:
     """docs joined with those of phrases whose text, in any case of letters, stands in theirs. The empty phrase stands in all
     texts; null ones and null texts fit nothing."""
-    p = phrases.where(F.col(phrase).isNotNull()).withColumn("_low", F.lower(phrase))
-    of = with_terms(docs.where(F.col(text).isNotNull()).withColumn("_text", F.lower(text)), "_text", p.select(F.col("_low").alias("term")), "_found").drop("_text")
-    of = of.withColumn("_hit", F.explode(F.concat(F.col("_found"), F.array(F.lit(""))))).drop("_found")
-    return of.join(p.drop(phrase), F.col("_hit") == F.col("_low")).drop("_hit", "_low")
+    low, own, found, hit = (unused(x, docs, phrases) for x in ("low", "own", "found", "hit"))
+    p = phrases.where(F.col(phrase).isNotNull()).withColumn(low, F.lower(phrase))
+    of = with_terms(docs.where(F.col(text).isNotNull()).withColumn(own, F.lower(text)), own, p.select(F.col(low).alias("term")), found).drop(own)
+    of = of.withColumn(hit, F.explode(F.concat(F.col(found), F.array(F.lit(""))))).drop(found)
+    return of.join(p.drop(phrase), F.col(hit) == F.col(low)).drop(hit, low)
 
 
 def with_source(docs: DataFrame, sources: DataFrame, how: str = "left") -> DataFrame:
     """docs with their source as a struct."""
-    s = sources.select(F.col("id").alias("_id"), F.struct("id", "name", "ward_number", "source_type").alias("source"))
-    return docs.join(s, F.col("source_id") == F.col("_id"), how).drop("_id")
+    id_ = unused("of_source", docs)
+    s = sources.select(F.col("id").alias(id_), F.struct("id", "name", "ward_number", "source_type").alias("source"))
+    return docs.join(s, F.col("source_id") == F.col(id_), how).drop(id_)
 
 
 def search(docs: DataFrame, sources: DataFrame, query: str | None = None, ward: str | None = None, topic: str | None = None, source_type: str | None = None, stem: bool = False) -> DataFrame:

@@ -19,6 +19,14 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     return out
 
 
+def unused(name: str, *dfs: DataFrame) -> str:
+    """A column name that none of these has."""
+    have = {c.lower() for df in dfs for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 def newcomers(existing: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
     """Rows of new whose key is neither in existing nor earlier in new. Keys with a null never clash, as in SQL.
 
@@ -63,9 +71,10 @@ def update(existing: DataFrame, where: Column, touch: str | None = None, **value
 
 def update_ids(existing: DataFrame, ids: DataFrame, key: str = "id", **values: Column) -> DataFrame:
     """Sets columns in the rows whose key is among ids (a column of that name)."""
-    hit = ids.select(F.col(key).alias("_id")).distinct().withColumn("_hit", F.lit(True))
-    joined = existing.join(hit, F.col(key) == F.col("_id"), "left")
-    return update(joined, F.col("_hit"), **values).drop("_id", "_hit")
+    id_, hit = unused("hit_id", existing), unused("hit", existing)
+    own = ids.select(F.col(key).alias(id_)).distinct().withColumn(hit, F.lit(True))
+    joined = existing.join(own, F.col(key) == F.col(id_), "left")
+    return update(joined, F.col(hit), **values).drop(id_, hit)
 
 
 def delete(existing: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
@@ -74,8 +83,9 @@ def delete(existing: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
 
 def cascade(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str = "id") -> DataFrame:
     """Rows whose parent is still there, or that have none."""
-    p = parent.select(F.col(parent_key).alias("_p")).distinct()
-    kept = child.where(F.col(child_key).isNotNull()).join(p, F.col(child_key) == F.col("_p"), "left_semi")
+    name = unused("parent", child)
+    p = parent.select(F.col(parent_key).alias(name)).distinct()
+    kept = child.where(F.col(child_key).isNotNull()).join(p, F.col(child_key) == F.col(name), "left_semi")
     return kept.unionByName(child.where(F.col(child_key).isNull()))
 
 
