@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.html import sanitize_html, text_difference
 from ..functions.text import redact, sanitize_text
-from ..operators.match import match_daily, queue_rows, source_of_sender
+from ..operators.match import match_daily, new_daily, queue_rows, source_of_sender
 from ..operators.search import lacking_metadata, latest
 from ..operators.store import newcomers
 from ..sources.mail import parsed_mail, parsed_pages
@@ -55,8 +55,7 @@ def reprocess(docs: DataFrame, sources: DataFrame, enrich: Callable[[DataFrame],
     out = {"docs": docs.select(*kept).join(made.select("id", "topics", "summary", "relevance_score"), "id")}
     if rules is not None:
         wards = sources.select(F.col("id").alias("source_id"), "ward_number")
-        matches = match_daily(out["docs"].join(wards, "source_id", "left"), rules, profiles)
-        out["queue"] = newcomers(queue, queue_rows(matches, now), ["user_id", "newsletter_id", "rule_id"])
+        out["queue"] = queue_rows(new_daily(out["docs"].join(wards, "source_id", "left"), rules, profiles, queue), now)
     return out
 
 
