@@ -217,6 +217,20 @@ def test_failures_are_kept(spark):
     assert got == [("2", "summary", "RuntimeError: no")]
 
 
+def test_synthesis_by_an_enricher_that_reads_few_facts(spark):
+    """More than BLOCK * BLOCK documents: the first texts of all blocks make the report, in order of the blocks."""
+    size, enrich.BLOCK = enrich.BLOCK, 2
+    try:
+        rows = [("a", f"d{i:02d}", i, f"fact {i}.") for i in range(40)]
+        facts = spark.createDataFrame(rows, "topic string, id string, place int, description string")
+        blocks = facts.select(enrich._block(F.col("id"), F.lit(40)).alias("b"), "id", "description").orderBy("b", "id").collect()
+        got = enrich.synthesised(facts, spark.createDataFrame([("a", 40)], "topic string, n long")).collect()
+    finally:
+        enrich.BLOCK = size
+    texts = [" ".join([x.description for x in blocks if x.b == k][:5]) for k in sorted({x.b for x in blocks})]
+    assert [(r.topic, r.report_summary) for r in got] == [("a", " ".join(texts[:5]))]
+
+
 def test_synthesis_in_rounds(spark):
     """Every fact is read, however many there are: blocks first, then the texts of the blocks."""
 
