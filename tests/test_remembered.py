@@ -67,6 +67,24 @@ def test_killed_and_resumed(spark, tmp_path, monkeypatch):
     assert got.count() == 50 and len(os.listdir(calls)) - before == 50 - kept and remembered.stored_answers(spark, path).count() == 50
 
 
+def test_documents_are_read_as_often_for_many_waves(spark, tmp_path, monkeypatch):
+    """What is to be asked is told once, not for each wave."""
+    counts = []
+    for wave in (5, 40):
+        monkeypatch.setattr(remembered, "WAVE", wave)
+        read = spark.sparkContext.accumulator(0)
+
+        @F.udf("string")
+        def seen(x, read=read):
+            read.add(1)
+            return x
+
+        docs = spark.createDataFrame([(str(i), "s", f"text {i}") for i in range(40)], "id string, subject string, plain_text string").withColumn("plain_text", seen(F.col("plain_text")))
+        assert remembered.remembered(docs, str(tmp_path / f"w{wave}"), "v").count() == 40
+        counts.append(read.value)
+    assert counts[0] == counts[1]
+
+
 def test_calls_at_once(spark, tmp_path):
     class Slow(Noted):
         def __init__(self, folder):
