@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .search import find, parsed_queries, stems, words
+from .search import find, parsed_queries, placed, stems, words
 
 #: Folders of a segment; documents of a chunk, about.
 BUCKETS, CHUNK = 256, 2048
@@ -50,10 +50,11 @@ def _commit(spark: SparkSession, path: str, version: int, segments: list[tuple[s
 def _blocks(postings: DataFrame, chunks: int, buckets: int) -> DataFrame:
     """Rows of a segment from postings (term, id, places)."""
     chunk = F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")
-    rows = postings.groupBy("term", chunk.alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("id", "places"))).alias("docs"))
+    spread = postings.select(_bucket(F.col("term"), buckets).alias("bucket"), "term", chunk.alias("chunk"), "id", "places").repartition("bucket")
+    rows = spread.groupBy("bucket", "term", "chunk").agg(F.array_sort(F.collect_list(F.struct("id", "places"))).alias("docs"))
     gaps = F.transform("docs", lambda d: F.transform(d["places"], lambda p, k: F.when(k == 0, p).otherwise(p - F.get(d["places"], k - 1))))
-    rows = rows.select(_bucket(F.col("term"), buckets).alias("bucket"), "term", "chunk", F.size("docs").alias("n"), F.col("docs")[0]["id"].alias("first_id"), F.element_at("docs", -1)["id"].alias("last_id"), F.transform("docs", lambda d: d["id"]).alias("ids"), gaps.alias("gaps"))
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "term", "chunk")
+    rows = rows.select("bucket", "term", "chunk", F.size("docs").alias("n"), F.col("docs")[0]["id"].alias("first_id"), F.element_at("docs", -1)["id"].alias("last_id"), F.transform("docs", lambda d: d["id"]).alias("ids"), gaps.alias("gaps"))
+    return rows.sortWithinPartitions("bucket", "term", "chunk")
 
 
 def _write(df: DataFrame, place: str) -> None:
@@ -72,7 +73,9 @@ def add(docs: DataFrame, path: str, id_: str, text: Column, stem: bool = False,
     own = own.select("id", stems(F.col("w")).alias("w")) if stem else own
     own.select("id").write.parquet(f"{place}/documents")
     n = spark.read.parquet(f"{place}/documents").count()
-    places = own.select("id", F.posexplode("w").alias("place", "term")).groupBy("term", "id").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    places = placed(own.select("id", F.col("w").alias("words")), "id")
+    if n > spark.read.parquet(f"{place}/documents").distinct().count():  # words of an id that comes several times lie together
+        places = places.groupBy("term", "id").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
     _write(_blocks(places, max(1, -(-n // CHUNK)), buckets), f"{place}/postings")
     _commit(spark, path, version, [(r["segment"], r["born"], r["buckets"]) for r in before if r["segment"]] + [(name, version, buckets)])
     return name

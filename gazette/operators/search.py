@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -18,6 +19,10 @@ from .store import unused
 STOP = "a about above after again against all am an and any are as at be because been before being below between both but by can did do does doing don down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or other our ours ourselves out over own s same she should so some such t than that the their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom why will with you your yours yourself yourselves".split()
 
 
+#: Texts whose words are gathered at a time.
+ROWS = 100
+
+
 def words(text: Column) -> Column:
     """Lower-case words; stop words are still there, so that places count."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -36,10 +41,32 @@ def inverted(docs: DataFrame, id_: str, text: Column, stem: bool = False, everyt
     """(term, id, places): where each word other than a stop word stands in each document; with `everything` stop words too, which
     phrases need; with `only` (term) those words alone, before anything is grouped."""
     w = stems(words(text)) if stem else words(text)
-    rows = docs.select(F.col(id_), F.posexplode(w).alias("place", "term"))
+    rows = placed(docs.select(F.col(id_), w.alias("words")), id_)
     rows = rows if everything else rows.where(~F.col("term").isin(STOP))
     rows = rows if only is None else rows.join(only.select("term").distinct(), "term", "left_semi")
-    return rows.groupBy("term", id_).agg(F.array_sort(F.collect_list("place")).alias("places"))
+    return rows.groupBy("term", id_).agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
+
+
+def placed(docs: DataFrame, id_: str) -> DataFrame:
+    """(term, id, places) of each row (id, words): the places of a word are gathered within the row, before anything is shuffled."""
+    kind = docs.schema[id_].dataType.simpleString()
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                terms, rows, places = [], [], []
+                for k, ws in enumerate(part.column("words").to_pylist()):
+                    own: dict[str, list[int]] = {}
+                    for place, w in enumerate(ws or ()):
+                        own.setdefault(w, []).append(place)
+                    terms += own
+                    rows += [k] * len(own)
+                    places += own.values()
+                ids = part.column(id_).take(pa.array(rows, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), ids, pa.array(places, pa.list_(pa.int32()))], ["term", id_, "places"])
+
+    return docs.select(id_, "words").mapInArrow(gathered, f"term string, `{id_}` {kind}, places array<int>")
 
 
 def parsed_query(query: str) -> list[list[tuple[bool, list[str]]]]:

@@ -82,3 +82,13 @@ def test_a_query_reads_its_own_words(spark, tmp_path):
     buckets = {r[0] for r in terms.select(index._bucket(F.col("term"), 600)).collect()}
     own = sum(v for k, v in sizes.items() if int(k.split("/bucket=")[1].split("/")[0]) in buckets)
     assert own < 0.01 * sum(sizes.values()) and (not read or read <= set(sizes))
+
+
+def test_postings_are_shuffled_once(spark):
+    """From postings to the rows of a segment there is one exchange, by bucket."""
+    from gazette.operators import index
+
+    postings = spark.createDataFrame([("a", "1", [0, 2]), ("b", "1", [1]), ("a", "2", [5])], "term string, id string, places array<int>")
+    rows = index._blocks(postings, 2, 4)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert sorted((r.term, i) for r in rows.collect() for i in r.ids) == [("a", "1"), ("a", "2"), ("b", "1")]
