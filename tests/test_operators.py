@@ -156,6 +156,14 @@ def test_mail(spark):
     assert [(r["user_id"], r["digest_batch_id"]) for r in out["queue"].collect()] == [("u", "2026-01-03")]
 
 
+def test_pairs_are_dealt(spark):
+    """Documents and rules of one kind each: their pairs are made by many tasks, none of which makes a large part."""
+    docs = spark.range(4000).selectExpr("cast(id as string) id", "array('a') topics", "'x' plain_text", "cast(null as string) ward_number")
+    rules = spark.range(3).selectExpr("cast(id as string) id", "'u' user_id", "array('a') topics", "'' search_term", "cast(array() as array<string>) ward_numbers", "true is_active", "'daily' delivery_frequency")
+    got = match.match_rules(docs, rules).groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in got) == 12_000 and len(got) > 8 and max(r["n"] for r in got) < 12_000 / 4
+
+
 def test_enrichment(spark):
     docs = spark.createDataFrame([("1", "Bike lanes", "New bike lanes. They are wide. More."), ("2", None, None)], "id string, subject string, plain_text string")
     got = {r["id"]: r for r in enrich.enriched(docs).collect()}
