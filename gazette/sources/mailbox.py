@@ -1,7 +1,8 @@
 """Mailboxes (mbox files) as a data source of Spark, in batch and as a stream.
 
 A file is cut into byte ranges, and each message belongs to the range that its first line begins in, so that a large mailbox is
-read by many tasks. As a stream, how many bytes of each file have been read is the mark that the checkpoint keeps: a restart goes
+read by many tasks. A task reads as many ranges as make up its share, of one file or of several: how many tasks there are rests on
+the bytes of all files, not on the size of a range or the number of files. As a stream, how many bytes of each file have been read is the mark that the checkpoint keeps: a restart goes
 on where it ended, and only what was appended or is new is read. Whoever writes appends whole messages. Files are opened by
 path, so the folder has to be one that the driver and all executors see."""
 
@@ -21,8 +22,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from ..schemas import MAIL
 
-#: Bytes of a partition, if no other number is asked for.
+#: Bytes of a range, if no other number is asked for, and of all ranges that a task reads, unless a single one is larger.
 RANGE = 16 << 20
+#: Tasks, about, as long as that leaves them less than RANGE each.
+TASKS = 128
 
 
 class Range(InputPartition):
@@ -30,6 +33,13 @@ class Range(InputPartition):
         self.path, self.begin, self.end, self.size = path, begin, end, size
 
 
+class Ranges(InputPartition):
+    """What one task reads, range by range."""
+
+    def __init__(self, parts: list[Range]):
+        self.parts = parts
+
+
 def files(path: str) -> dict[str, int]:
     """The files of a folder, or one file, and their sizes; names that begin with . or _ are of other use."""
     path = path.removeprefix("file://")
@@ -42,6 +52,18 @@ def ranges(path: str, begin: int, size: int, step: int) -> list[Range]:
     return [Range(path, at, min(at + step, size), size) for at in range(begin, size, step)]
 
 
+def dealt(parts: list[Range]) -> list[Ranges]:
+    """Ranges dealt to tasks in their order."""
+    share, out, held = min(sum(r.end - r.begin for r in parts) / TASKS, RANGE), [], 0
+    for r in parts:
+        if not out or held + r.end - r.begin > share:
+            out.append(Ranges([]))
+            held = 0
+        out[-1].parts.append(r)
+        held += r.end - r.begin
+    return out
+
+
 def raw_messages(part: Range) -> Iterator[tuple[int, bytes]]:
     """(place, bytes) of the messages that begin in a range. One begins at a line "From " at the start or after an empty line; lines
     that were quoted as ">From " get back what they were."""
@@ -108,21 +130,22 @@ def parsed(raw: bytes, fallback: str) -> dict:
     return {"uid": uid or fallback, "from_": _decoded(message["From"]), "subject": _decoded(message["Subject"]), "date": date, "html": _body(message, "text/html"), "text": _body(message, "text/plain"), "to": to, "seen": "R" in (message["Status"] or "")}
 
 
-def _rows(part: Range, names: list[str]) -> Iterator[tuple]:
-    for place, raw in raw_messages(part):
-        row = parsed(raw, f"{os.path.basename(part.path)}:{place}")
-        yield tuple(row[n] for n in names)
+def _rows(task: Ranges, names: list[str]) -> Iterator[tuple]:
+    for part in task.parts:
+        for place, raw in raw_messages(part):
+            row = parsed(raw, f"{os.path.basename(part.path)}:{place}")
+            yield tuple(row[n] for n in names)
 
 
 class _Batch(DataSourceReader):
     def __init__(self, path: str, step: int, names: list[str]):
         self.path, self.step, self.names = path, step, names
 
-    def partitions(self) -> list[Range]:
-        return [r for path, size in sorted(files(self.path).items()) for r in ranges(path, 0, size, self.step)] or [Range("", 0, 0, 0)]
+    def partitions(self) -> list[Ranges]:
+        return dealt([r for path, size in sorted(files(self.path).items()) for r in ranges(path, 0, size, self.step)]) or [Ranges([])]
 
-    def read(self, partition: Range) -> Iterator[tuple]:
-        return _rows(partition, self.names) if partition.path else iter(())
+    def read(self, partition: Ranges) -> Iterator[tuple]:
+        return _rows(partition, self.names)
 
 
 class _Stream(DataSourceStreamReader):
@@ -135,11 +158,11 @@ class _Stream(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return files(self.path)
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
         """What end has more than start; a file that has become shorter is another one and is read again."""
-        return [r for path, size in sorted(end.items()) for r in ranges(path, start.get(path, 0) if start.get(path, 0) <= size else 0, size, self.step)]
+        return dealt([r for path, size in sorted(end.items()) for r in ranges(path, start.get(path, 0) if start.get(path, 0) <= size else 0, size, self.step)])
 
-    def read(self, partition: Range) -> Iterator[tuple]:
+    def read(self, partition: Ranges) -> Iterator[tuple]:
         return _rows(partition, self.names)
 
     def commit(self, end: dict) -> None:
@@ -147,7 +170,7 @@ class _Stream(DataSourceStreamReader):
 
 
 class Mailbox(DataSource):
-    """spark.read.format("mailbox").load(folder), with the option bytes: those of a partition."""
+    """spark.read.format("mailbox").load(folder), with the option bytes: those of a range."""
 
     @classmethod
     def name(cls) -> str:

@@ -34,6 +34,27 @@ def test_ranges(tmp_path, end):
             assert [m for r in mailbox.ranges(str(path), 0, len(data), step) for m in mailbox.raw_messages(r)] == whole
 
 
+def test_ranges_are_dealt():
+    """Tasks follow the bytes of all files, not the ranges; each range is one task's, in order."""
+    for k, size, step in ((3, 10_000_000, 100_000), (3000, 70, 50), (1, 90, 50), (2, 64 << 30, 16 << 20), (3, 1 << 30, 100_000), (1, 100 << 20, 50 << 20), (1, 0, 5)):
+        parts = [r for n in range(k) for r in mailbox.ranges(f"f{n}", 0, size, step)]
+        got = mailbox.dealt(parts)
+        assert [r for t in got for r in t.parts] == parts and all(t.parts for t in got)
+        assert len(got) <= min(len(parts), 2 * max(mailbox.TASKS, k * size // mailbox.RANGE) + 1)
+        assert all(sum(r.end - r.begin for r in t.parts) <= max(mailbox.RANGE, step) for t in got)
+
+
+def test_few_tasks(spark, tmp_path):
+    """Many ranges, in batch and as a stream, are read by few tasks."""
+    for k in range(3):
+        (tmp_path / f"box{k}").write_bytes(box(random.Random(k), 200))
+    batch = mailbox.mailbox(spark, str(tmp_path), 20)
+    assert batch.count() == 600 and sum(p.stat().st_size for p in tmp_path.iterdir()) / 20 > 1000 and batch.rdd.getNumPartitions() < 300
+    out = []
+    ingest.start(mailbox.mailbox_stream(spark, str(tmp_path), 20), str(tmp_path / "_marks"), lambda df, n: out.append((df.count(), df.rdd.getNumPartitions()))).awaitTermination()
+    assert sum(n for n, _ in out) == 600 and all(parts < 300 for _, parts in out)
+
+
 def test_odd_messages():
     mail = b"From: =?utf-8?q?J=C3=BCrg?= <j@x.org>\nTo: a@x.org, \"B, C\" <b@x.org>\nDate: nonsense\nSubject: =?none?q?x?=\nContent-Type: text/plain; charset=unheard\n\n>text \xc3\xbc \xff\n"
     got = mailbox.parsed(mail, "box:7")
