@@ -199,3 +199,21 @@ def test_deep_pages(tag):
         assert "[N](https://ok.org/newsletter)" in html.marked(clean)
         assert html.page_subject(whole, None) == "T" and html.links_of(clean, "https://ok.org")[0]["title"] == "N"
         assert time.time() - began < 60
+
+
+def test_pages_come_in_small_runs(spark, tmp_path):
+    """The first page's text leaves a task long before it has read thousands of pages."""
+    asked = tmp_path / "asked"
+
+    def slowly(page):
+        time.sleep(0.001)
+        with open(asked, "a") as f:
+            f.write(".")
+        return html.marked(page)
+
+    pages = spark.range(0, 5000, 1, 1).select(F.lit("<p>a</p>").alias("html"))
+    assert pages.select(html._each(slowly)(F.col("html"))).first()[0] == "a"
+    assert asked.stat().st_size < 3000
+    h = F.col("html")
+    plan = pages.select(html.sanitize_html(h), html.html_to_text(h), html.text_difference(h, h), html.subject_of_page(h, h), html.page_links(h, h))._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
