@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 from collections import Counter
 
 import pytest
@@ -180,6 +181,35 @@ def test_enrichment(spark):
     assert got["topics"] == [] and got["summary"] and got["relevance_score"] is None
 
 
+def test_few_texts_at_a_time(spark, tmp_path):
+    """The first answers leave a task long before it has been given thousands of texts, whatever the session's batches were."""
+    asked, name = tmp_path / "asked", "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    class Slow(enrich.Lexicon):
+        def topics(self, content):
+            time.sleep(0.001)
+            with open(asked, "a") as f:
+                f.write(".")
+            return []
+
+        def facts(self, topic, content):
+            self.topics(content)
+            return ["x" * 2000]
+
+    docs = spark.range(0, 5000, 1, 1).selectExpr("cast(id as string) id", "'s' subject", "repeat('t', 3000) plain_text", "'a' topic", "'1' ward_number")
+    held = spark.conf.get(name)
+    try:
+        for made in (lambda: enrich.enriched(docs, Slow), lambda: enrich.developments(docs, Slow)):
+            spark.conf.set(name, "10000")
+            asked.write_text("")
+            assert made().first()["id"] == "0" and asked.stat().st_size < 3000
+        spark.conf.set(name, "50")
+        enrich.enriched(docs, Slow)
+        assert spark.conf.get(name) == "50"
+    finally:
+        spark.conf.set(name, held)
+
+
 def test_answers():
     waits, answers = [], iter(["", " ", "ok"])
     assert enrich.answered(lambda p: next(answers), "p", wait=waits.append) == "ok" and waits == [1.0, 2.0]
