@@ -110,8 +110,9 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[65:91] += 32
 
-_WORD = np.ones(256, bool)
-_WORD[[0x20, *range(0x09, 0x0E)]] = False
+#: Bytes of words.
+WORD = np.ones(256, bool)
+WORD[[0x20, *range(0x09, 0x0E)]] = False
 _ODD = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_ODD, -1, 1 << 64)
 
@@ -142,7 +143,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     none = np.zeros(0, np.int64)
     if not n:
         return none, none, none, np.zeros(0, np.uint64)
-    inside = _WORD[data]
+    inside = WORD[data]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]

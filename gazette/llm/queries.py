@@ -42,7 +42,7 @@ def op5_simhash_dedup(spark, sf_dir):
 
 
 def op6_suffix_dedup(spark, sf_dir):
-    return suffix.dedup_report(table(spark, sf_dir, "documents"))
+    return suffix.dedup_report(table(spark, sf_dir, "documents"), passage=suffix.PASSAGE)
 
 
 def op7_lm_score(spark, sf_dir):

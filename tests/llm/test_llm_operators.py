@@ -299,6 +299,25 @@ def test_suffix_arrays():
             assert lcp[k] == min(n, 50)
 
 
+@pytest.mark.parametrize("width", [3, 5, 8, 12, 20, 50])
+def test_near_suffixes(width):
+    """Suffixes that are sorted as far as the width have the neighbours of a whole suffix array; texts may end in zero bytes."""
+    rng = np.random.default_rng(width)
+    for trial in range(40):
+        t = rng.integers(0 if trial % 5 == 1 else 97, 99 + trial % 3, int(rng.integers(1, 300))).astype(np.uint8)
+        t = np.tile(t[:7], 50)[: len(t)] if trial % 4 == 0 else t
+        t = np.concatenate([t, t[:80], np.zeros(trial % 3, np.uint8)])
+        sa, common = suffix.sorted_to(t, width)
+        near = suffix.near_before(t, sa, common, width)
+        assert sorted(sa.tolist()) == list(range(len(t)))
+        cut = [t[i : i + width].tobytes() for i in sa]
+        full = [len(c) == width for c in cut]
+        assert [c for c, f in zip(cut, full, strict=True) if f] == sorted(c for c, f in zip(cut, full, strict=True) if f)
+        for k in range(1, len(sa)):
+            if full[k] or full[k - 1]:
+                assert near[k] == (cut[k] == cut[k - 1])
+
+
 def test_shards_merge():
     """Stretches in many small shards give the same windows as in one."""
     rng = random.Random(3)
@@ -342,6 +361,56 @@ def test_without_repeats(spark, corpus):
     assert got[2]["text"] is None and got[5]["text"] == "short" and got[1]["text"] == "xxxxx" and got[3]["text"] == "q" and got[4]["text"] == "r" and set(got[1]) == {c.split()[0] for c in DOCS.split(", ")}
 
 
+def slow_passages(texts, n):
+    """Of each text: the number of places at which n words in a row begin that another row holds, too."""
+    own = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for t in texts]
+    windows = [[tuple(w[i : i + n]) for i in range(len(w) - n + 1)] for w in own]
+    rows = Counter(x for ws in windows for x in set(ws))
+    return [sum(rows[x] > 1 for x in ws) for ws in windows]
+
+
+def test_passages_of_over_50_words(spark, corpus, monkeypatch):
+    """Passages of 51 words are told though they are shorter than 400 bytes; nothing of them is removed."""
+    rng = random.Random(21)
+    passages = [" ".join(f"{rng.choice('abcd')}{rng.randrange(999)}" for _ in range(n)) for n in (50, 51, 70)]
+    texts = [t for _, t in corpus if t is None or len(t) < 20_000]
+    for p in passages:
+        texts += [f"{prose(rng, 30)} {p} {prose(rng, 30)}", f"{prose(rng, 10)}\n{p.replace(' ', '  ')}\t{prose(rng, 5)}", p]
+    texts += [f"{passages[0]} only here {prose(rng, 80, 5000)} "] + [" ".join([prose(rng, 60, 9000)] * 2)]
+    long = prose(rng, 9000, 10**9)
+    texts += [long, f"{prose(rng, 20)} {long[30_000:50_000]} {'z' * 9000} {passages[2]}", "z" * 9000]
+    rows = list(enumerate(texts))
+    want = slow_passages(texts, 51)
+    assert 0 < sum(w > 0 for w in want) < len(want) and want[texts.index(passages[0])] == 0 and want[texts.index(passages[1])] == 1 and want[texts.index(passages[2])] == 20
+    got = rows_of(suffix.dedup_report(docs_of(spark, rows), passage=51))
+    assert Counter((r["doc_id"], r["n_shared"]) for r in got) == Counter(enumerate(want))
+    assert [r["n_removed"] for r in sorted(got, key=lambda r: r["doc_id"]) if r["doc_id"] == texts.index(passages[1])] == [0]
+
+
+def test_words_of_long_texts_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array([prose(random.Random(9), 3000), None, "", "a  b\n", " " * 5000, "y" * 5000 + " x", prose(random.Random(8), 40)])
+    whole = suffix.word_hashes(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts], names=["t", "text"])
+    covered = lambda: sorted((t, s + k, a) for b in suffix._word_stretches(51, 16)([batch]) for t, s, n, a in zip(*(c.to_pylist() for c in b.columns[:4]), strict=True) for k in range(n))
+    once = covered()
+    assert [(t, k) for t, k, _ in once] == [(0, k) for k in range(2950)]
+    monkeypatch.setattr(suffix, "TOGETHER", 300)
+    pieces = suffix.word_hashes(texts)
+    assert all((a == b).all() for a, b in zip(whole, pieces, strict=True)) and whole[1].tolist() == [0, 3000, 3000, 3000, 3002, 3002, 3004, 3044]
+    assert covered() == once
+
+
+def test_op6_tells_passages(spark):
+    """As registered: documents that hold an item of over 50 words of `benchmark` and share it with others are told."""
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    want = slow_passages([r["text"] for r in docs], 51)
+    got = {r["doc_id"]: r for r in rows_of(QUERIES["op6_suffix_dedup"](spark, f"{DATA}/sf0.01"))}
+    assert {i: r["n_shared"] for i, r in got.items()} == {d["doc_id"]: w for d, w in zip(docs, want, strict=True)}
+    assert any(r["n_shared"] and not r["n_removed"] for r in got.values())
+
+
 # --- 7 -----------------------------------------------------------------------------------------------------------
 
 
